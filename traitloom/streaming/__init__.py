@@ -1,0 +1 @@
+"""No operator of this library is a streaming one; every job is a batch DataFrame job."""
