@@ -2,7 +2,7 @@
 
 from traitloom.catalog import base
 
-from traitloom.catalog import ld, qtl, variants  # noqa: E402,F401
+from traitloom.catalog import disease, ld, qtl, sumstat, traits, variants  # noqa: E402,F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

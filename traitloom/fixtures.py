@@ -69,6 +69,17 @@ SELECT o_orderkey AS eid, o_custkey AS genid,
        CAST(1 + (o_orderkey * 7 + o_custkey) % 60 AS DOUBLE) AS censor_age,
        o_orderpriority AS array_type, o_totalprice AS score
 FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
+    # Three diseases from the order status; the last one occurs in one sex only.
+    "fx_phecode": """
+SELECT phecode, eid, genid, CASE WHEN nation % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex,
+       CASE WHEN status = phecode THEN 1 ELSE 0 END AS event, CAST(1 + (eid * 7 + genid) % 60 AS DOUBLE) AS time
+FROM (SELECT {explode}('F', 'O', 'P'{end}) AS phecode, o_orderkey AS eid, o_custkey AS genid, c_nationkey AS nation, o_orderstatus AS status
+      FROM {orders} JOIN {customer} ON c_custkey = o_custkey)
+WHERE phecode <> 'P' OR nation % 2 = 1""",
+    "fx_scores": """
+SELECT CASE WHEN trait = 'price' THEN 'Panel' ELSE 'Array' END AS platform, trait, iid,
+       CASE WHEN trait = 'price' THEN price ELSE CAST((iid * 13 + cust * 7) % 1009 AS DOUBLE) + price / 1000 END AS score
+FROM (SELECT {explode}('price', 'mixed'{end}) AS trait, o_orderkey AS iid, o_custkey AS cust, o_totalprice AS price FROM {orders})""",
     "fx_loc": """
 SELECT 'SeqId_' || CAST(n_nationkey AS STRING) AS phenotype,
        CAST(n_nationkey % 5 + 1 AS STRING) || '|' || CAST((n_nationkey + 2) % 5 + 1 AS STRING) AS chr,
@@ -98,6 +109,9 @@ FROM {{part}}""",
     "fx_pc": "SELECT vec_id AS iid, "
     + ", ".join(f"CAST(element_at(embedding, {i}) AS DOUBLE) AS PC_{i}" for i in range(1, 11))
     + " FROM {embeddings}",
+    "fx_qc": "SELECT c_custkey AS sample_id, c_mktsegment AS array_type, CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS in_ancestry_subset, "
+    + ", ".join(f"CAST(element_at(embedding, {i}) AS DOUBLE) AS PC{i}" for i in range(1, 11))
+    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500",
     # Sample-major genotypes: 64 variants per sample, so this one grows with the samples.
     "fx_design": """
 SELECT vec_id AS iid, transform(embedding, e -> CAST(CASE WHEN e < -0.05 THEN 0 WHEN e < 0.08 THEN 1 ELSE 2 END AS DOUBLE)) AS x
@@ -111,6 +125,9 @@ FROM (SELECT CAST(unnest(range({PANEL})) AS BIGINT) AS iid, p_partkey AS row_id
     "fx_pc": "SELECT vec_id AS iid, "
     + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS PC_{i}" for i in range(1, 11))
     + " FROM {embeddings}",
+    "fx_qc": "SELECT c_custkey AS sample_id, c_mktsegment AS array_type, CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS in_ancestry_subset, "
+    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS PC{i}" for i in range(1, 11))
+    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500",
     "fx_design": """
 SELECT vec_id AS iid, [CAST(CASE WHEN e < -0.05 THEN 0 WHEN e < 0.08 THEN 1 ELSE 2 END AS DOUBLE) FOR e IN embedding] AS x
 FROM {embeddings}""",
@@ -135,6 +152,7 @@ def _ctes(names: list[str], texts: dict[str, str], tables: dict[str, str]) -> st
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a DataFrame over the Parquet tables in ``sf_dir``."""
     tables = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in BASE}
+    tables |= {"explode": "explode(array", "end": ")"}
     texts = {**SHARED, **SPARK_ONLY}
     return spark.sql(f"WITH {_ctes(_closure((name,)), texts, tables)} SELECT * FROM {name}")
 
@@ -144,7 +162,7 @@ def oracle(body: str, *names: str) -> str:
 
     ``body`` starts with SELECT, or with further ``name AS (...)`` items ending in a SELECT.
     """
-    tables = {t: t for t in BASE}
+    tables = {t: t for t in BASE} | {"explode": "unnest(list_value", "end": ")"}
     texts = {**SHARED, **DUCK_ONLY}
     body = body.strip()
     ctes = _ctes(_closure(names), texts, tables)

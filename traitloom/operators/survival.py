@@ -61,14 +61,23 @@ def _unpack(packed: np.ndarray, k: int) -> np.ndarray:
 
 def _stratum(times: pd.DataFrame, k: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, gradient and information of one stratum, ties by Efron's method."""
+    # Rows come per (time, event); latest time first, both sorts of a time side by side.
     t = times.sort_values("time", ascending=False)
-    s0 = np.cumsum(t["s0"].to_numpy())
-    s1 = np.cumsum(np.vstack(t["s1"].to_numpy()), axis=0)
-    s2 = np.cumsum(_unpack(np.vstack(t["s2"].to_numpy()), k), axis=0)
-    d = t["d"].to_numpy().astype(int)
+    when, first = np.unique(-t["time"].to_numpy(), return_index=True)
+    ev = np.where(t["event"].to_numpy() == 1, 1.0, 0.0)
+    w0, w1 = t["s0"].to_numpy(), np.vstack(t["s1"].to_numpy())
+    w2, d = _unpack(np.vstack(t["s2"].to_numpy()), k), t["n"].to_numpy() * ev
+
+    def per_time(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, first, axis=0)
+
+    s0 = np.cumsum(per_time(w0))
+    s1 = np.cumsum(per_time(w1), axis=0)
+    s2 = np.cumsum(per_time(w2), axis=0)
+    d, d0 = per_time(d).astype(int), per_time(w0 * ev)
+    d1, d2 = per_time(w1 * ev[:, None]), per_time(w2 * ev[:, None, None])
+    dx = per_time(np.vstack(t["x"].to_numpy()) * ev[:, None])
     has = np.flatnonzero(d > 0)
-    d0, dx = t["e0"].to_numpy(), np.vstack(t["ex"].to_numpy())
-    d1, d2 = np.vstack(t["e1"].to_numpy()), _unpack(np.vstack(t["e2"].to_numpy()), k)
     ll, grad, info = 0.0, np.zeros(k), np.zeros((k, k))
     for m in has:
         share = (np.arange(d[m]) / d[m])[:, None]
@@ -95,8 +104,8 @@ def cox_ph(
     """Maximum partial likelihood per key: coef, se (arrays), converged, iterations, loglik.
 
     Newton's method. Each step is one aggregation over the samples of the keys still open:
-    sums of the weights and of their products with the covariates per distinct time. Only
-    those per-time rows of one key meet in a task. A step that lowers the likelihood is
+    sums of the weights and of their products with the covariates per distinct time and
+    event flag. Only those rows of one key meet in a task, never its samples. A step that lowers the likelihood is
     halved, and directions without information stay at zero. The state (one row per key)
     is written out after each step, so a lost executor costs at most one step.
     """
@@ -156,26 +165,21 @@ def cox_ph(
     eta = F.lit(0.0)
     for i in range(k):
         eta = eta + x[i] * F.col("beta")[i]
-    w, ev = F.col("__w"), F.col("event") == 1
-
-    def total(value: Column, name: str, only_events: bool = False) -> Column:
-        return F.sum(F.when(ev, value).otherwise(0.0) if only_events else value).alias(name)
-
-    sums = [total(w, "s0"), total(w, "e0", True), F.sum("event").cast("double").alias("d")]
-    for i in range(k):
-        sums += [total(w * x[i], f"s1_{i}"), total(w * x[i], f"e1_{i}", True), total(x[i], f"ex_{i}", True)]
-    for n, (i, j) in enumerate(pairs):
-        sums += [total(w * x[i] * x[j], f"s2_{n}"), total(w * x[i] * x[j], f"e2_{n}", True)]
-    arrays = [F.array(*[F.col(f"{a}_{i}") for i in range(k)]).alias(a) for a in ("s1", "e1", "ex")]
-    arrays += [F.array(*[F.col(f"{a}_{n}") for n in range(len(pairs))]).alias(a) for a in ("s2", "e2")]
+    w = F.col("__w")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("s0")]
+    sums += [F.sum(x[i]).alias(f"x_{i}") for i in range(k)]
+    sums += [F.sum(w * x[i]).alias(f"s1_{i}") for i in range(k)]
+    sums += [F.sum(w * x[i] * x[j]).alias(f"s2_{n}") for n, (i, j) in enumerate(pairs)]
+    arrays = [F.array(*[F.col(f"{a}_{i}") for i in range(k)]).alias(a) for a in ("x", "s1")]
+    arrays.append(F.array(*[F.col(f"s2_{n}") for n in range(len(pairs))]).alias("s2"))
 
     for _ in range(max_iter):
         if state.where("open").isEmpty():
             break
         active = state.where("open").select(*keys, "beta")
         joined = base.alias("a").join(active.alias("b"), null_safe_on(keys, "a", "b")).select("a.*", "b.beta")
-        per_time = joined.withColumn("__w", F.exp(eta)).groupBy(*groups, "time").agg(*sums)
-        per_time = per_time.select(*groups, "time", "s0", "e0", "d", *arrays)
+        per_time = joined.withColumn("__w", F.exp(eta)).groupBy(*groups, "time", "event").agg(*sums)
+        per_time = per_time.select(*groups, "time", "event", "n", "s0", *arrays)
         fed = per_time.alias("a").join(state.alias("b"), null_safe_on(keys, "a", "b")).select(
             "a.*", *[f"b.{c}" for c in ("beta", "prev", "ll", "steps")]
         )
