@@ -31,9 +31,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Beyond cutting the lineage this gives the planner true sizes, so a join with a small
+    intermediate table is broadcast and one with a large table is not. (A checkpoint keeps
+    the constraints of the plan it cuts; over many rounds those grow out of hand.)
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
