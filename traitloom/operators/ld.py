@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.operators.ordering import row_index
-from traitloom.session import cut
+from traitloom.session import cut, spread
 
 HARD_CALL = 0.1
 BROADCAST_ROWS = 200_000
@@ -114,7 +114,8 @@ def ld_pairs(
 
     row_type = dict(variants.dtypes)["row_id"]
     head = f"chr int, i {row_type}, j {row_type}, "
-    groups = tiles.groupBy("chr", "b1", "b2", "sample_block")
+    unit = ["chr", "b1", "b2", "sample_block"]
+    groups = spread(tiles, *unit).groupBy(*unit)
     if whole:
         return groups.applyInArrow(product, head + "r double, n bigint")
     sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]

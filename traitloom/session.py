@@ -46,3 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` into a fixed number of tasks.
+
+    For steps whose cost is computing, not bytes: adaptive execution would put many small
+    groups into one task. A grouped step on the same keys needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
