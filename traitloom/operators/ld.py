@@ -136,6 +136,7 @@ def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: i
     staying, better one is correlated with it. Each round settles every variant that has
     no undecided better neighbour; the edges left are written out between rounds.
     """
+    variants = cut(variants)
     rank = variants.select("row_id", "maf")
     strong = pairs.where(F.col("r") * F.col("r") > max_r2).select("i", "j")
     edges = (
@@ -172,7 +173,7 @@ def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: i
 
 def ld_score(ld: DataFrame, passing: DataFrame) -> DataFrame:
     """Sum of r2 with all passing variants, itself included, per passing variant."""
-    ids = passing.select("row_id").distinct()
+    ids = cut(passing.select("row_id").distinct())
     inner = ld.join(ids.withColumnRenamed("row_id", "i"), "i", "left_semi").join(
         ids.withColumnRenamed("row_id", "j"), "j", "left_semi"
     )

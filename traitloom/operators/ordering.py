@@ -107,12 +107,11 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, name:
     keys = list(keys)
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
     cum = running_sum(counts, keys, [col], "__cum", weight="__n")
+    sizes = cum.groupBy(*keys).agg(F.max("__cum").alias("__size"))
     if keys:
-        sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
         cum = cum.alias("a").join(sizes.alias("b"), null_safe_on(keys, "a", "b")).select("a.*", "b.__size")
     else:
-        size = counts.agg(F.sum("__n")).first()[0]
-        cum = cum.withColumn("__size", F.lit(size))
+        cum = cum.withColumn("__size", F.lit(sizes.first()[0]))
     h = (F.col("__size") - 1) * F.lit(float(q))
     lo, hi = F.floor(h) + 1, F.ceil(h) + 1
 

@@ -12,6 +12,7 @@ from traitloom.operators.aggregates import arg_best, duplicate_keys
 from traitloom.operators.genotypes import filter_maf, maf, variant_counts
 from traitloom.operators.joins import attach_info
 from traitloom.operators.ld import ld_pairs, ld_prune
+from traitloom.session import cut
 
 
 def with_variant_key(variants: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def thin_variants(
     """SNPs with enough minor alleles, none in a window correlated with a better one."""
     snps = identify_snps(variants)
     common = filter_maf(variant_counts(packed.join(snps.select("row_id"), "row_id", "left_semi")), min_maf)
-    common = snps.join(common.select("row_id", maf("freq").alias("maf")), "row_id")
+    # Written once: it is used several times and costs a pass over the genotypes.
+    common = cut(snps.join(common.select("row_id", maf("freq").alias("maf")), "row_id"))
     pairs = ld_pairs(packed, common, window_bp, min_r2=max_r2, **ld_options)
     kept = ld_prune(pairs, common, max_r2)
     return kept.select(*variants.columns)
