@@ -35,7 +35,7 @@ def test_bayesian_ridge_is_the_posterior_mean(spark):
     design, rows = _design(spark)
     folded = training.assign_folds(design, ["phenotype"])
     folds = {(r.phenotype, r.iid): r.fold for r in folded.select("phenotype", "iid", "fold").collect()}
-    models = evaluation.fold_models(folded, chunks=3).collect()
+    models = evaluation.fold_models(folded, chunk_rows=10).collect()
     assert len(models) == 10
     for m in models:
         use = [r for r in rows if r[0] == m.phenotype and folds[r[0], r[1]] != m.fold]

@@ -392,12 +392,12 @@ def fold_gram(spark, sf):
     "gram_held_out",
     oracle(
         f"""{_GRAM} SELECT phenotype, fold, CAST(i AS INT) AS i, CAST(j AS INT) AS j,
-round(sum(value) OVER (PARTITION BY phenotype, i, j) - value, 4) + 0.0e0 AS value FROM gram""",
+round(sum(value) OVER (PARTITION BY phenotype, i, j) - value, 7) + 0.0e0 AS value FROM gram""",
         "fx_trait", "fx_design",
     ),
 )
 def gram_held_out(spark, sf):
-    return training.held_out(fold_gram(spark, sf), ["phenotype"]).withColumn("value", r6("value", 4))
+    return training.held_out(fold_gram(spark, sf), ["phenotype"]).withColumn("value", r6("value", 7))
 
 
 @query("cv_grs_metrics", oracle(

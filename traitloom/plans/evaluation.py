@@ -18,9 +18,9 @@ from traitloom.operators.training import (
 from traitloom.session import cut
 
 
-def fold_models(design: DataFrame, chunks: int = 16, **priors) -> DataFrame:
+def fold_models(design: DataFrame, chunk_rows: int = 20_000, **priors) -> DataFrame:
     """One ridge model per (phenotype, fold), trained without that fold."""
-    return bayesian_ridge(held_out(gram(design, ["phenotype", "fold"], chunks), ["phenotype"]), ["phenotype", "fold"], **priors)
+    return bayesian_ridge(held_out(gram(design, ["phenotype", "fold"], chunk_rows), ["phenotype"]), ["phenotype", "fold"], **priors)
 
 
 def cross_validate(
@@ -28,7 +28,7 @@ def cross_validate(
     weights: DataFrame,
     k: int = FOLDS,
     seed: int = FOLD_SEED,
-    chunks: int = 16,
+    chunk_rows: int = 20_000,
     models: DataFrame | None = None,
     **priors,
 ) -> DataFrame:
@@ -39,7 +39,7 @@ def cross_validate(
     """
     folded = cut(assign_folds(design, ["phenotype"], "iid", k, seed))
     if models is None:
-        models = fold_models(folded, chunks, **priors)
+        models = fold_models(folded, chunk_rows, **priors)
     scored = predict(models, folded, ["phenotype", "fold"], "br")
     scored = scored.join(weights.select("phenotype", "w"), "phenotype").withColumn("uni", dot("x", "w"))
     fit = score_metrics(

@@ -65,12 +65,10 @@ def select_qtls(
         measures = measures_per_trait(sumstats)
     weakest = filter_pvalue(sumstats, max(p_trans, p_cis))
     matched = drop_missing(harmonise(weakest, _variants_with_site_id(variants), carry=["rsid"]), "beta")
-    # The site's ID depends on (chr, pos) alone, so taking it along costs no further join.
-    means = matched.groupBy("phenotype", "chr", "pos", "effect_allele", "other_allele").agg(
-        F.count(F.lit(1)).alias("seen"),
-        F.avg("beta").alias("effect"),
-        F.avg("pval").alias("pval"),
-        F.max("rsid").alias("rsid"),
+    # The site's ID depends on (chr, pos) alone: as a grouping column it costs no further
+    # join, and the aggregation keeps to fixed-width sums (hashed, not sorted).
+    means = matched.groupBy("phenotype", "chr", "pos", "effect_allele", "other_allele", "rsid").agg(
+        F.count(F.lit(1)).alias("seen"), F.avg("beta").alias("effect"), F.avg("pval").alias("pval")
     )
     full = means.join(measures, "phenotype").where(F.col("seen") == F.col("n"))
     windows = extend_windows(make_windows(locations, flank), regions, boundary)

@@ -20,8 +20,11 @@ def write_sumstats(df: DataFrame, path: str) -> None:
 
 
 def write_variant_effects(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder per phenotype, in genomic order within files."""
-    ordered = df.repartition("phenotype").sortWithinPartitions("phenotype", "chr", "pos")
+    """One folder per phenotype, in genomic order within files.
+
+    Rebalancing brings a phenotype's rows together but splits one that is too large.
+    """
+    ordered = df.hint("rebalance", "phenotype").sortWithinPartitions("phenotype", "chr", "pos")
     ordered.write.mode(mode).partitionBy("phenotype").parquet(path)
 
 
