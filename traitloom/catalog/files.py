@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traitloom.catalog.base import query, r6
+from traitloom.catalog.traits import _EFFECTS as EFFECTS_SQL
 from traitloom.catalog.traits import chosen_effects
 from traitloom.fixtures import oracle, view
 from traitloom.operators import joins
@@ -241,7 +242,14 @@ def write_sumstats(spark, sf):
     return spark.read.parquet(path).select("phenotype", "row_no", "platform", r6("pval", 9).alias("pval"))
 
 
-@query("write_variant_effects")
+@query(
+    "write_variant_effects",
+    oracle(
+        f"""{EFFECTS_SQL} SELECT c.phenotype, rsid, row_id, v.chr, v.pos, round(effect, 6) + 0.0e0 AS effect
+FROM chosen c JOIN (SELECT row_id, chr, pos FROM fx_pvar) v USING (row_id)""",
+        "fx_pvar", "fx_gwas",
+    ),
+)
 def write_variant_effects(spark, sf):
     """Effects per phenotype folder, written in two runs; the second takes what is pending."""
     path = work_path(spark, "effects")

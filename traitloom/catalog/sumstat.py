@@ -79,14 +79,15 @@ rows AS (SELECT phenotype, chisq + 1e-8 AS y, greatest(ld_score, 1) AS w_ld, ld_
   FROM lin WINDOW p AS (PARTITION BY phenotype))"""
 
 
-def _ldsc_sql() -> str:
+def _ldsc_sql(rounds: int, digits: int, floor: bool = False) -> str:
+    h2 = "CASE WHEN any_value(h2) < 0 THEN 0.001e0 ELSE any_value(h2) END" if floor else "any_value(h2)"
     parts = [_LDSC_IN, "a0 AS (SELECT DISTINCT phenotype, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM rows)"]
-    for k in range(LDSC_ITER):
+    for k in range(rounds):
         parts.append(f"""a{k + 1} AS MATERIALIZED (SELECT phenotype, (swy - b * swx) / sw AS a, b FROM (
   SELECT *, (sw * swxy - swx * swy) / (sw * swxx - swx * swx) AS b FROM (
     SELECT phenotype, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy, sum(w * x * x) AS swxx, sum(w * x * y) AS swxy
     FROM (SELECT r.*, 1 / (coalesce(a + b * x, y) ** 2 * w_ld) AS w FROM rows r JOIN a{k} USING (phenotype) WHERE y < 30) GROUP BY phenotype)))""")
-    n = LDSC_ITER
+    n = rounds
     parts.append(f"s0 AS (SELECT phenotype, a, CAST(NULL AS DOUBLE) AS b FROM a{n})")
     for k in range(n):
         parts.append(f"""s{k + 1} AS MATERIALIZED (SELECT phenotype, any_value(a) AS a, (sum(w * x * y) - any_value(a) * sum(w * x)) / sum(w * x * x) AS b
@@ -103,8 +104,8 @@ del AS (SELECT *, (w4 - d_i * w1) / w3 AS d_h FROM (SELECT *, (u2 - (u0 * u4 - u
 ps AS (SELECT phenotype, CAST(m AS DOUBLE) / size AS h, CAST(m AS DOUBLE) / size * i - (CAST(m AS DOUBLE) / size - 1) * d_i AS p_i,
   CAST(m AS DOUBLE) / size * h2 - (CAST(m AS DOUBLE) / size - 1) * d_h AS p_h, i, h2, m FROM del JOIN est USING (phenotype)),
 jk AS (SELECT *, sum(p_i / h) OVER q AS j_i, sum(p_h / h) OVER q AS j_h FROM ps WINDOW q AS (PARTITION BY phenotype))
-SELECT phenotype, round(any_value(i), 6) + 0.0e0 AS intercept, round(sqrt(avg((p_i - j_i) ** 2 / (h - 1))), 6) + 0.0e0 AS intercept_se,
-  round(any_value(h2), 6) + 0.0e0 AS h2, round(sqrt(avg((p_h - j_h) ** 2 / (h - 1))), 6) + 0.0e0 AS h2_se, any_value(m) AS n_variants
+SELECT phenotype, round(any_value(i), {digits}) + 0.0e0 AS intercept, round(sqrt(avg((p_i - j_i) ** 2 / (h - 1))), {digits}) + 0.0e0 AS intercept_se,
+  round({h2}, {digits}) + 0.0e0 AS h2, round(sqrt(avg((p_h - j_h) ** 2 / (h - 1))), {digits}) + 0.0e0 AS h2_se, any_value(m) AS n_variants
 FROM jk GROUP BY phenotype""")
     return ",\n".join(parts)
 
@@ -116,17 +117,19 @@ def ldsc_input(spark, sf):
     return matched(spark, sf).join(scores, "row_id").select("phenotype", "row_id", "n_eff", chisq.alias("chisq"), "ld_score")
 
 
-@query("ldsc", oracle(_ldsc_sql(), "fx_pvar", "fx_gwas", "fx_dosage"))
+@query("ldsc", oracle(_ldsc_sql(LDSC_ITER, 6), "fx_pvar", "fx_gwas", "fx_dosage"))
 def ldsc(spark, sf):
     """Both steps with a fixed number of reweightings, and the block jackknife."""
     out = S.ldsc(ldsc_input(spark, sf), blocks=LDSC_BLOCKS, n_iter=LDSC_ITER, tol=0.0)
     return out.select("phenotype", *[r6(c).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
 
 
-@query("ldsc_converged")
+# Twenty rounds in SQL stand for "until nothing moves"; hence the fewer digits.
+@query("ldsc_converged", oracle(_ldsc_sql(20, 4, floor=True), "fx_pvar", "fx_gwas", "fx_dosage"))
 def ldsc_converged(spark, sf):
     """Reweighted until the predictions settle, negative heritability replaced."""
-    return S.initial_h2(S.ldsc(ldsc_input(spark, sf), blocks=LDSC_BLOCKS))
+    out = S.initial_h2(S.ldsc(ldsc_input(spark, sf), blocks=LDSC_BLOCKS))
+    return out.select("phenotype", *[r6(c, 4).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
 
 
 @query(
@@ -201,6 +204,19 @@ def chain_params(spark, sf):
     return out.select("trait", "paramset", r6("p_init", 9).alias("p_init"), "h2_init", r6("p_est").alias("p_est"), r6("h2_est").alias("h2_est"))
 
 
+@query(
+    "model_export",
+    oracle(
+        f"""{_MATCH} SELECT phenotype, rsid, chr, pos, a1 AS effect_allele, a0 AS other_allele, round(avg(beta) OVER (PARTITION BY phenotype, row_id), 6) + 0.0e0 AS effect FROM matched""",
+        "fx_pvar", "fx_gwas",
+    ),
+)
+def model_export(spark, sf):
+    stats = matched(spark, sf)
+    beta = stats.groupBy("phenotype", "row_id").agg(F.avg("beta").alias("beta"))
+    return S.export_model(stats, beta).withColumn("effect", r6("effect"))
+
+
 @query("ldpred_auto")
 def ldpred_auto(spark, sf):
     """Score models of every trait from a few short chains; checked in the tests."""
