@@ -72,7 +72,9 @@ def running_sum(
     out = ordered.join(F.broadcast(starts), "__part").withColumn("__run", F.col("__run") + F.col("__base"))
     if not keys:
         return out.withColumn(name, F.col("__run")).drop("__run", "__base", "__part")
-    first = out.groupBy(*keys).agg(F.min(F.col("__run") - step).alias("__first"))
+    # One row per key, written so that its size is known: while it is small the rows stay
+    # where the sort put them instead of gathering by key.
+    first = cut(out.groupBy(*keys).agg(F.min(F.col("__run") - step).alias("__first")))
     joined = out.alias("a").join(first.alias("b"), null_safe_on(keys, "a", "b"))
     return joined.select(
         *[F.col(f"a.{c}").alias(c) for c in df.columns], (F.col("a.__run") - F.col("b.__first")).alias(name)
@@ -107,7 +109,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, name:
     keys = list(keys)
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
     cum = running_sum(counts, keys, [col], "__cum", weight="__n")
-    sizes = cum.groupBy(*keys).agg(F.max("__cum").alias("__size"))
+    sizes = cut(cum.groupBy(*keys).agg(F.max("__cum").alias("__size")))
     if keys:
         cum = cum.alias("a").join(sizes.alias("b"), null_safe_on(keys, "a", "b")).select("a.*", "b.__size")
     else:

@@ -1,7 +1,9 @@
 """Standardising and adjusting by group.
 
 Everything works from sums per group, combined on the map side, and joins one small row per
-group back; a group is never sorted or collected, so a hot one costs no more than others.
+group back; a group is never sorted or collected, so a hot one costs no more than others. The small table is
+written first: Spark then sees its true size and, up to the broadcast threshold, joins without
+moving the rows at all; beyond it the join is a shuffled one.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitloom.operators.ordering import null_safe_on
+from traitloom.session import cut
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -25,7 +28,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], cols: Seque
 
 def residualise_factor(df: DataFrame, keys: Sequence[str], y: str, factor: str) -> DataFrame:
     """Residual of ``y`` on a factor within ``keys``: the deviation from the level's mean."""
-    means = df.groupBy(*keys, factor).agg(F.avg(y).alias("__mean"))
+    means = cut(df.groupBy(*keys, factor).agg(F.avg(y).alias("__mean")))
     joined = join_stats(df, means, [*keys, factor], ["__mean"])
     return joined.withColumn(y, F.col(y) - F.col("__mean")).select(*df.columns)
 
@@ -33,7 +36,7 @@ def residualise_factor(df: DataFrame, keys: Sequence[str], y: str, factor: str)
 def zscore(df: DataFrame, keys: Sequence[str], cols: Sequence[str], constant: float | None = None) -> DataFrame:
     """Population z-scores per group. A constant column gives ``constant`` (NULL by default)."""
     aggs = [f(c).alias(f"__{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    stats = df.groupBy(*keys).agg(*aggs)
+    stats = cut(df.groupBy(*keys).agg(*aggs))
     out = join_stats(df, stats, keys, [f"__{n}_{c}" for c in cols for n in "ms"])
     for c in cols:
         z = (F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0))
@@ -104,7 +107,7 @@ def fitted(xs: Sequence[str], coef: str = "coef") -> Column:
 
 def residualise(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Replace ``y`` by its residual on ``xs`` within ``keys``; NULL where an input is."""
-    coefs = ols(df, keys, y, xs)
+    coefs = cut(ols(df, keys, y, xs))
     joined = join_stats(df, coefs, keys, ["coef"])
     return joined.withColumn(y, F.col(y) - fitted(xs)).select(*df.columns)
 

@@ -11,13 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitloom.operators.ordering import null_safe_on
-from traitloom.session import cut
+from traitloom.session import cut, spread
 
 # Fixed value: the 97.5 % point of the normal distribution.
 Z975 = 1.959963984540054
@@ -121,7 +120,9 @@ def cox_ph(
     for i in range(k):
         complete = complete & F.col(f"__x{i}").isNotNull()
     base = base.where(complete)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # Every step is heavy per row, so the rows are dealt out evenly and written once, whatever
+    # joins or hot keys they come from.
+    base = cut(spread(base, *base.columns))
     groups = [*keys, *[f"__s{i}" for i in range(len(strata))]]
     types = dict(df.dtypes)
     state_cols = "beta array<double>, prev array<double>, ll double, steps int, open boolean, se array<double>"
@@ -185,7 +186,6 @@ def cox_ph(
         )
         moved = fed.groupBy(*keys).applyInPandas(step, state_schema)
         state = cut(state.where("NOT open").unionByName(moved))
-    base.unpersist()
     return state.select(
         *keys, F.col("beta").alias("coef"), "se", (~F.col("open")).alias("converged"),
         F.col("steps").alias("iterations"), F.col("ll").alias("loglik"),

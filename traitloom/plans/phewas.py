@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from traitloom.operators.joins import build_assoc_frame
 from traitloom.operators.regression import fitted, join_stats, ols_coefficients, ols_sums, one_hot, zscore
 from traitloom.operators.survival import cox_ph, hazard_ratios
+from traitloom.session import cut
 
 KEYS = ["platform", "phecode", "trait"]
 COMPONENTS = [f"PC{i}" for i in range(1, 11)]
@@ -40,7 +41,7 @@ def prepare_assoc(
     stats = frame.groupBy(*keys).agg(*sums, *scales)
     packed = F.array(*[F.col(f"__ols{i}") for i in range(len(sums))])
     names = [f"__{n}_{c}" for c in components for n in "ms"]
-    stats = stats.select(*keys, *names, ols_coefficients(packed).alias("coef"))
+    stats = cut(stats.select(*keys, *names, ols_coefficients(packed).alias("coef")))
     joined = join_stats(frame, stats, keys, [*names, "coef"])
     joined = joined.withColumn("score", F.col("score") - fitted(components))
     for c in components:
@@ -55,11 +56,14 @@ def phewas(scores: DataFrame, survival: DataFrame, qc: DataFrame, components: Se
 
     ``scores``: platform, trait, iid, score. ``survival``: phecode, eid, genid, sex, event,
     time. ``qc``: sample_id, array_type and components. Strata are the sexes; a phecode with
-    one sex has one stratum.
+    one sex has one stratum. Indicators come from the levels of the QC table; a level that a
+    phecode lacks carries no information there and leaves the score's estimate alone.
     """
+    qc = one_hot(qc, ["array_type"])
+    indicators = [c for c in qc.columns if c.startswith("array_type_")]
     frame = build_assoc_frame(scores, survival, qc)
-    model = prepare_assoc(frame.select(*KEYS, "sex", "event", "time", "array_type", "score", *components), KEYS, components)
-    indicators = [c for c in model.columns if c.startswith("array_type_")]
+    frame = frame.select(*KEYS, "sex", "event", "time", "score", *components, *indicators)
+    model = prepare_assoc(frame, KEYS, components, category=None)
     fits = cox_ph(model, KEYS, "time", "event", ["score", *components, *indicators], ["sex"])
     return hazard_ratios(fits, KEYS)
 
