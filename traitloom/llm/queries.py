@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from traitloom.llm import exact_dedup, language, packing, pii, simhash
+from traitloom.llm import exact_dedup, language, licenses, neighbours, packing, pieces, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+@_query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encoded_digests(_table(spark, sf_dir, "documents"), model)
+
+
 @_query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3)
@@ -51,6 +64,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(_table(spark, sf_dir, "documents"))
 
 
+@_query("op6_licenses")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.learn_and_scan(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -62,6 +80,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_paths(), with_ids=False)
 
 
+@_query("op8_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.spans_of(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @_query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_of(_table(spark, sf_dir, "documents"))
