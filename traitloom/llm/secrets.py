@@ -23,7 +23,7 @@ from traitloom.llm.common import batch_pieces, text_or_empty, widened
 KINDS = ("assign", "access", "hex", "novel")
 AROUND = 2048  # characters of surrounding text on either side
 CONTEXT = 48  # characters in which a sensitive word has to stand before a candidate
-NOVELTY = 0.62  # added bytes per character: sixteen random hex digits add about one half, base-64 about three quarters
+NOVELTY = 0.9  # added bytes per character: random strings add about one, words and identifiers 0.3 to 0.85
 MIN_KINDS = 8  # distinct characters
 _FLAGS = re.IGNORECASE | re.ASCII
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
