@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traitloom.catalog.base import query, r6
+from traitloom.catalog.base import ORACLES, query, r6
 from traitloom.catalog.variants import COUNTS_SQL, SNPS_SQL
 from traitloom.fixtures import oracle, view
 from traitloom.operators import cis, joins, ld
 from traitloom.operators import genotypes as G
+from traitloom.operators.ordering import row_index
 from traitloom.plans import curation
+from traitloom.session import cut
 
 WINDOW = 40_000
 MAX_R2 = 0.5
@@ -82,18 +84,23 @@ def ld_r2_pairs(spark, sf):
     return panel_ld(spark, sf).select("chr", "i", "j", "n", r6("r").alias("r"), r6(F.col("r") * F.col("r")).alias("r2"))
 
 
+BLOCKED = 40
+
+
+def blocked(spark, sf):
+    """The same genotypes packed into three or more blocks of samples."""
+    long = view(spark, sf, "fx_dosage")
+    manifest = row_index(long.select("iid").distinct(), ["iid"], "k").select("iid", (F.col("k") - 1).alias("sample_idx"))
+    return cut(G.pack_genotypes(long, manifest, block=BLOCKED))
+
+
 @query(
     "ld_r2_pairs_blocked",
     oracle(f"{LD_SQL} SELECT chr, i, j, n, round(r, 6) + 0.0e0 AS r FROM ld WHERE r * r >= 0.2", "fx_pvar", "fx_dosage"),
 )
 def ld_r2_pairs_blocked(spark, sf):
     """The same correlations from genotypes cut into sample blocks and small variant blocks."""
-    from traitloom.operators.ordering import row_index
-
-    long = view(spark, sf, "fx_dosage")
-    manifest = row_index(long.select("iid").distinct(), ["iid"], "k").select("iid", (F.col("k") - 1).alias("sample_idx"))
-    packed = G.pack_genotypes(long, manifest, block=40)
-    out = ld.ld_pairs(packed, view(spark, sf, "fx_pvar"), WINDOW, 0.2, block_size=32, sample_blocks=3)
+    out = ld.ld_pairs(blocked(spark, sf), view(spark, sf, "fx_pvar"), WINDOW, 0.2, block_size=32)
     return out.select("chr", "i", "j", "n", r6("r").alias("r"))
 
 
@@ -114,6 +121,14 @@ def ld_prune(spark, sf):
     return ld.ld_prune(panel_ld(spark, sf, MAX_R2), variants, MAX_R2).select("row_id", "chr", "pos")
 
 
+@query("ld_prune_blocked", ORACLES["ld_prune"])
+def ld_prune_blocked(spark, sf):
+    packed = blocked(spark, sf)
+    freq = G.variant_counts(packed).select("row_id", G.maf("freq").alias("maf"))
+    pairs = ld.ld_pairs(packed, view(spark, sf, "fx_pvar"), WINDOW, MAX_R2)
+    return ld.ld_prune(pairs, view(spark, sf, "fx_pvar").join(freq, "row_id"), MAX_R2).select("row_id", "chr", "pos")
+
+
 @query("ld_prune_check", "SELECT 'close pairs kept' AS violation, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'dropped without reason', 0")
 def ld_prune_check(spark, sf):
     """Violations: kept pairs above the bound; dropped variants without a better kept neighbour."""
@@ -154,6 +169,12 @@ def thin_variants(spark, sf):
     return out.select("row_id", "chr", "pos", "id", "ref", "alt")
 
 
+@query("thin_variants_blocked", ORACLES["thin_variants"])
+def thin_variants_blocked(spark, sf):
+    out = curation.thin_variants(view(spark, sf, "fx_pvar"), blocked(spark, sf), window_bp=WINDOW, max_r2=MAX_R2)
+    return out.select("row_id", "chr", "pos", "id", "ref", "alt")
+
+
 _SCORE_SQL = f"""{COUNTS_SQL}, {LD_SQL},
 pass AS (SELECT row_id FROM counts WHERE least(freq, 1 - freq) >= 0.01),
 inner_ld AS (SELECT * FROM ld WHERE i IN (SELECT row_id FROM pass) AND j IN (SELECT row_id FROM pass)),
@@ -166,6 +187,14 @@ def ld_score(spark, sf):
     return ld.ld_score(panel_ld(spark, sf), passing(spark, sf)).select("row_id", r6("ld_score").alias("ld_score"))
 
 
+@query("ld_score_blocked", ORACLES["ld_score"])
+def ld_score_blocked(spark, sf):
+    packed = blocked(spark, sf)
+    common = G.filter_maf(G.variant_counts(packed), 0.01).select("row_id")
+    pairs = ld.ld_pairs(packed, view(spark, sf, "fx_pvar"), WINDOW)
+    return ld.ld_score(pairs, common).select("row_id", r6("ld_score").alias("ld_score"))
+
+
 _CM_SQL = """
 spans AS (
   SELECT chr, pos AS p0, cm AS c0, lead(pos) OVER (PARTITION BY chr ORDER BY pos) AS p1, lead(cm) OVER (PARTITION BY chr ORDER BY pos) AS c1 FROM fx_gmap),

@@ -6,7 +6,7 @@ position; the diagonal is one and not stored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.operators.ordering import row_index
-from traitloom.session import cut, spread
+from traitloom.session import cut, drop_cut, spread, work_path
 
 HARD_CALL = 0.1
-BROADCAST_ROWS = 200_000
 
 
 def variant_blocks(variants: DataFrame, size: int = 5000) -> DataFrame:
@@ -38,9 +37,61 @@ def near_blocks(placed: DataFrame, window_bp: int) -> DataFrame:
     return hit.select("chr", "b1", "b2")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table when its counted size allows, else leave the plan to Spark."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+class _Tile:
+    """Sums of products of two blocks of variants, added up over sample blocks."""
+
+    def __init__(self, size: int):
+        self.rows: tuple[dict, dict] = ({}, {})
+        self.pos: tuple[list, list] = ([], [])
+        self.sums = {k: np.zeros((size, size)) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")}
+
+    def place(self, side: int, row: list, pos: list) -> np.ndarray:
+        """Numbers of the variants within the tile; new ones are added."""
+        known = self.rows[side]
+        for r, p in zip(row, pos):
+            if r not in known:
+                known[r] = len(known)
+                self.pos[side].append(p)
+        return np.array([known[r] for r in row], dtype=np.int64)
+
+    def add(self, table: pa.Table, hard_calls: bool) -> None:
+        """One sample block. ``rint`` keeps calls, half precision would not."""
+        dtype = np.float32 if hard_calls else np.float64
+        doses = table["doses"].combine_chunks()
+        x = doses.flatten().to_numpy(zero_copy_only=False).reshape(len(doses), -1).astype(dtype)
+        if hard_calls:
+            called = np.rint(x)
+            x = np.where(np.abs(x - called) <= HARD_CALL, called, np.nan).astype(dtype)
+        side = table["side"].to_numpy()
+        row, pos = table["row_id"].to_pylist(), table["pos"].to_pylist()
+        known = ~np.isnan(x)
+        value, known = np.where(known, x, 0).astype(dtype), known.astype(dtype)
+        of = [np.flatnonzero(side == s) for s in (0, 1)]
+        if table["b1"][0] == table["b2"][0]:
+            of[1] = of[0]
+        at = [self.place(s, [row[i] for i in of[s]], [pos[i] for i in of[s]]) for s in (0, 1)]
+        (ka, kb), (va, vb) = [known[i] for i in of], [value[i] for i in of]
+        cell = np.ix_(*at)
+        for name, left, right in (
+            ("n", ka, kb), ("sx", va, kb), ("sy", ka, vb), ("sxx", va * va, kb), ("syy", ka, vb * vb), ("sxy", va, vb)
+        ):
+            self.sums[name][cell] += left @ right.T
+
+    def pairs(self, window: int, min_r2: float) -> dict[str, np.ndarray]:
+        """Pairs in position order within the window whose r2 reaches the bound."""
+        row = [np.array(list(r), dtype=object) for r in self.rows]
+        pos = [np.array(p, dtype=np.int64) for p in self.pos]
+        gap = pos[1][None, :] - pos[0][:, None]
+        rank = [np.array([r for r in rows]) for rows in row]
+        later = (gap > 0) | ((gap == 0) & (rank[1][None, :] > rank[0][:, None]))
+        p, q = np.nonzero(later & (gap <= window))
+        n, sx, sy, sxx, syy, sxy = (v[p, q] for v in self.sums.values())
+        cov, vx, vy = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
+        ok = (vx > 0) & (vy > 0)
+        r = np.zeros(len(n))
+        r[ok] = cov[ok] / np.sqrt(vx[ok] * vy[ok])
+        ok &= r * r >= min_r2
+        return {"i": row[0][p[ok]], "j": row[1][q[ok]], "r": r[ok], "n": n[ok].astype(np.int64)}
 
 
 def ld_pairs(
@@ -48,16 +99,15 @@ def ld_pairs(
     variants: DataFrame,
     window_bp: int,
     min_r2: float = 0.0,
-    block_size: int = 256,
-    sample_blocks: int = 1,
+    block_size: int = 512,
     hard_calls: bool = True,
 ) -> DataFrame:
     """Correlation ``r`` of all variant pairs within ``window_bp``, from complete pairs.
 
     Variants are cut into blocks of ``block_size`` by rank, so dense regions give more
-    blocks, not larger ones. Each near pair of blocks is one matrix product in a task, on
-    at most ``2 * block_size`` dose arrays. With one sample block the threshold applies
-    inside the task; with more, the sums of the sample blocks are added up first.
+    blocks, not larger ones. Each near pair of blocks is one task's group; its rows come in the
+    order of the sample blocks, so a task holds one sample block of two variant blocks and
+    the sums, however large the cohort is, and the threshold applies before anything leaves.
     Pairs with a constant member have no correlation and are left out.
     """
     placed = cut(variant_blocks(variants.select("chr", "pos", "row_id"), block_size))
@@ -65,68 +115,32 @@ def ld_pairs(
     roles = near.select("chr", F.col("b1").alias("block"), "b1", "b2", F.lit(0).alias("side")).unionByName(
         near.where("b1 < b2").select("chr", F.col("b2").alias("block"), "b1", "b2", F.lit(1).alias("side"))
     )
-    tiles = packed.join(placed, "row_id").join(_small(cut(roles)), ["chr", "block"])
+    tiles = packed.join(placed, "row_id").join(cut(roles), ["chr", "block"])
     tiles = tiles.select("chr", "b1", "b2", "sample_block", "side", "row_id", "pos", "doses")
-    window, limit, whole, calls = int(window_bp), float(min_r2), sample_blocks == 1, hard_calls
-
-    def product(table: pa.Table) -> pa.Table:
-        doses = table["doses"].combine_chunks()
-        dtype = np.float32 if calls else np.float64
-        x = doses.flatten().to_numpy(zero_copy_only=False).reshape(len(doses), -1).astype(dtype)
-        if calls:
-            called = np.rint(x)
-            x = np.where(np.abs(x - called) <= HARD_CALL, called, np.nan).astype(dtype)
-        side = table["side"].to_numpy()
-        row, pos = table["row_id"].to_numpy(), table["pos"].to_numpy()
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1)
-        if table["b1"][0] == table["b2"][0]:
-            b = a
-        known = ~np.isnan(x)
-        value = np.where(known, x, 0).astype(dtype)
-        known = known.astype(dtype)
-        ka, kb, va, vb = known[a], known[b], value[a], value[b]
-        gap = pos[b][None, :].astype(np.int64) - pos[a][:, None]
-        later = (gap > 0) | ((gap == 0) & (row[b][None, :] > row[a][:, None]))
-        p, q = np.nonzero(later & (gap <= window))
-        cols = {
-            "n": (ka @ kb.T)[p, q],
-            "sx": (va @ kb.T)[p, q],
-            "sy": (ka @ vb.T)[p, q],
-            "sxx": ((va * va) @ kb.T)[p, q],
-            "syy": (ka @ (vb * vb).T)[p, q],
-            "sxy": (va @ vb.T)[p, q],
-        }
-        cols = {k: v.astype(np.float64) for k, v in cols.items()}
-        i, j = row[a][p], row[b][q]
-        chrom = np.full(len(p), table["chr"][0].as_py(), dtype=np.int32)
-        if whole:
-            n = cols["n"]
-            cov = n * cols["sxy"] - cols["sx"] * cols["sy"]
-            vx = n * cols["sxx"] - cols["sx"] ** 2
-            vy = n * cols["syy"] - cols["sy"] ** 2
-            ok = (vx > 0) & (vy > 0)
-            r = np.zeros(len(n))
-            r[ok] = cov[ok] / np.sqrt(vx[ok] * vy[ok])
-            ok &= r * r >= limit
-            return pa.table({"chr": chrom[ok], "i": i[ok], "j": j[ok], "r": r[ok], "n": n[ok].astype(np.int64)})
-        return pa.table({"chr": chrom, "i": i, "j": j, **cols})
-
+    window, limit, calls, size = int(window_bp), float(min_r2), hard_calls, int(block_size)
     row_type = dict(variants.dtypes)["row_id"]
-    head = f"chr int, i {row_type}, j {row_type}, "
-    unit = ["chr", "b1", "b2", "sample_block"]
-    groups = spread(tiles, *unit).groupBy(*unit)
-    if whole:
-        return groups.applyInArrow(product, head + "r double, n bigint")
-    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    parts = groups.applyInArrow(product, head + ", ".join(f"{c} double" for c in sums))
-    total = parts.groupBy("chr", "i", "j").agg(*[F.sum(c).alias(c) for c in sums])
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    r = cov / F.sqrt(vx * vy)
-    valid = total.where((vx > 0) & (vy > 0)).select("chr", "i", "j", r.alias("r"), F.col("n").cast("bigint").alias("n"))
-    return valid.where(F.col("r") * F.col("r") >= limit)
+    ids = pa.string() if row_type == "string" else pa.int64()
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, chrom, held, block = _Tile(size), None, [], None
+        for batch in batches:
+            sample = batch.column(batch.schema.get_field_index("sample_block")).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(sample)) + 1).tolist(), len(sample)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and sample[a] != block:
+                    tile.add(pa.Table.from_batches(held), calls)
+                    held = []
+                chrom, block = batch.column(0)[a].as_py(), sample[a]
+                held.append(batch.slice(a, b - a))
+        tile.add(pa.Table.from_batches(held), calls)
+        found = tile.pairs(window, limit)
+        cols = [pa.array([chrom] * len(found["r"]), pa.int32()), pa.array(found["i"].tolist(), ids), pa.array(found["j"].tolist(), ids)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(found["r"]), pa.array(found["n"])], ["chr", "i", "j", "r", "n"])
+
+    unit = ["chr", "b1", "b2"]
+    # The grouping needs the rows sorted by its keys, which this order already is.
+    ordered = spread(tiles, *unit).sortWithinPartitions(*unit, "sample_block")
+    return ordered.groupBy(*unit).applyInArrow(product, f"chr int, i {row_type}, j {row_type}, r double, n bigint")
 
 
 def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: int = 10_000) -> DataFrame:
@@ -150,7 +164,10 @@ def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: i
             F.when(i_first, F.col("j")).otherwise(F.col("i")).alias("worse"),
         ).distinct()
     )
-    removed: list[DataFrame] = []
+    # Losers of all rounds go to one folder, so the end is one anti join.
+    lost = work_path(variants.sparkSession, "pruned")
+    gone_type = variants.select("row_id").schema
+    variants.select("row_id").limit(0).write.parquet(lost)
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
@@ -158,17 +175,18 @@ def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: i
             edges.select(F.col("worse").alias("better")).distinct(), "better", "left_anti"
         )
         gone = cut(edges.join(tops, "better", "left_semi").select(F.col("worse").alias("row_id")).distinct())
-        removed.append(gone)
+        gone.write.mode("append").parquet(lost)
         settled = tops.withColumnRenamed("better", "row_id").unionByName(gone)
         left = edges.join(settled.withColumnRenamed("row_id", "better"), "better", "left_anti")
         left = left.join(gone.withColumnRenamed("row_id", "worse"), "worse", "left_anti")
-        edges = cut(left.select("better", "worse"))
+        new = cut(left.select("better", "worse"))
+        drop_cut(edges, gone)
+        edges = new
     else:
         raise RuntimeError("pruning did not settle")
-    kept = variants
-    for gone in removed:
-        kept = kept.join(gone, "row_id", "left_anti")
-    return kept.select(*variants.columns)
+    drop_cut(edges)
+    gone = variants.sparkSession.read.schema(gone_type).parquet(lost)
+    return variants.join(gone, "row_id", "left_anti")
 
 
 def ld_score(ld: DataFrame, passing: DataFrame) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder of each table that ``cut`` wrote, as long as its DataFrame lives.
+_folders: dict[int, tuple[weakref.ref, str]] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session, read from ``spark.checkpoint.dir``.
@@ -23,7 +28,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if current is not None:
         return current.rsplit("/", 1)[0]
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     own = tempfile.mkdtemp(prefix="traitloom-checkpoint-")
     sc.setCheckpointDir(own)
@@ -40,7 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[id(table)] = (weakref.ref(table, partial(_forget, id(table))), path)
+    return table
+
+
+def _forget(key: int, _) -> None:
+    _folders.pop(key, None)
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more.
+
+    Loops call this for the state of the round before; what a returned DataFrame still reads stays.
+    """
+    for frame in frames:
+        sc = frame.sparkSession.sparkContext
+        root = _folders.pop(id(frame), None)
+        if root is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(root[1])
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
