@@ -131,15 +131,14 @@ def phewas_scan(spark, sf):
 
 
 @query(
-    "phewas_strongest",
+    "strongest_associations",
     oracle(
-        f"""{_AT_RISK}, agg AS (SELECT phenotype, chr, pos, min(pval) AS pvalue FROM fx_gwas GROUP BY ALL)
+        """agg AS (SELECT phenotype, chr, pos, min(pval) AS pvalue FROM fx_gwas GROUP BY ALL)
 SELECT phenotype, chr, pos, round(pvalue, 12) + 0.0e0 AS pvalue FROM agg ORDER BY agg.pvalue NULLS LAST, phenotype, chr, pos LIMIT 25""",
-        "fx_pvar", "fx_gwas", "fx_surv",
+        "fx_pvar", "fx_gwas",
     ),
 )
-def phewas_strongest(spark, sf):
+def strongest_associations(spark, sf):
     """Top of an association table by p-value."""
     best = view(spark, sf, "fx_gwas").groupBy("phenotype", "chr", "pos").agg(F.min("pval").alias("pvalue"))
-    top = best.orderBy(F.asc_nulls_last("pvalue"), "phenotype", "chr", "pos").limit(25)
-    return top.withColumn("pvalue", r6("pvalue", 12))
+    return phewas.rank_associations(best, 25, ["phenotype", "chr", "pos"]).withColumn("pvalue", r6("pvalue", 12))

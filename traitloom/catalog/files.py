@@ -85,7 +85,7 @@ _NAME = [("dir=", ""), ("INTERVAL_", "")]
 
 def _read_layout(spark, sf, kind):
     layout = readers.LAYOUTS[kind]
-    rows = readers.read_sumstats(spark, _gwas_files(spark, sf, layout, f"gwas_{kind}"), layout)
+    rows = readers.read_sumstats(spark, _gwas_files(spark, sf, layout, f"gwas_{kind}"), layout, max_p=0.01)
     named = readers.phenotype_from_path(rows, _NAME, directory=True)
     beta = [r6("beta").alias("beta")] if layout.beta else []
     return named.select("phenotype", "chr", "pos", "effect_allele", "other_allele", *beta, r6("pval", 9).alias("pval"))

@@ -60,7 +60,7 @@ SELECT phenotype, rsid, chr, pos, effect_allele, other_allele,
 def selected_qtls(spark, sf, p_trans=P_TRANS, p_cis=P_CIS):
     return qtl.select_qtls(
         view(spark, sf, "fx_gwas"), view(spark, sf, "fx_pvar"), view(spark, sf, "fx_loc"),
-        view(spark, sf, "fx_region"), p_trans, p_cis, flank=FLANK,
+        view(spark, sf, "fx_region"), p_trans, p_cis, qtl.measures_per_trait(view(spark, sf, "fx_gwas")), flank=FLANK,
     )
 
 

@@ -280,10 +280,8 @@ def rename_cascade(spark, sf):
     oracle("SELECT event_id AS idno, CASE WHEN value > 10 THEN 1 ELSE 0 END AS event, phenotype AS trait FROM fx_trait WHERE phenotype = 'click'", "fx_trait"),
 )
 def select_rename(spark, sf):
-    clicks = view(spark, sf, "fx_trait").where(F.col("phenotype") == "click")
-    return clicks.select(
-        F.col("event_id").alias("idno"), F.when(F.col("value") > 10, 1).otherwise(0).alias("event"), F.col("phenotype").alias("trait")
-    )
+    flag = F.when(F.col("value") > 10, 1).otherwise(0)
+    return E.select_rename(view(spark, sf, "fx_trait"), F.col("phenotype") == "click", {"idno": "event_id", "event": flag, "trait": "phenotype"})
 
 
 @query("trait_list", oracle("SELECT DISTINCT phenotype FROM fx_trait", "fx_trait"))

@@ -13,8 +13,9 @@ from traitloom.operators import genotypes as G
 from traitloom.operators import joins, ld
 from traitloom.operators import sumstats as S
 from traitloom.plans import ldpred
+from traitloom.session import cut
 
-LDSC_ITER, LDSC_BLOCKS = 3, 20
+LDSC_ROUNDS, LDSC_BLOCKS = 20, 200
 
 # One estimate per trait and variant: the smallest p, as in the selection of QTLs.
 _BEST = """
@@ -73,7 +74,7 @@ pass AS (SELECT row_id FROM counts WHERE least(freq, 1 - freq) >= 0.01),
 inner_ld AS (SELECT * FROM ld WHERE i IN (SELECT row_id FROM pass) AND j IN (SELECT row_id FROM pass)),
 scores AS (SELECT row_id, sum(r2) AS ld_score FROM (
   SELECT i AS row_id, r * r AS r2 FROM inner_ld UNION ALL SELECT j, r * r FROM inner_ld UNION ALL SELECT row_id, 1 FROM pass) GROUP BY row_id),
-lin AS (SELECT phenotype, row_id, n_eff, (beta / beta_se) ** 2 AS chisq, ld_score FROM matched JOIN scores USING (row_id)),
+lin AS (SELECT phenotype, row_id, n_eff, (beta / beta_se) ** 2 AS chisq, ld_score FROM qc JOIN scores USING (row_id) WHERE NOT fail_qc),
 rows AS (SELECT phenotype, chisq + 1e-8 AS y, greatest(ld_score, 1) AS w_ld, ld_score / count(*) OVER p * n_eff AS x, count(*) OVER p AS m,
   floor((row_number() OVER (PARTITION BY phenotype ORDER BY row_id) - 1) * {LDSC_BLOCKS} / count(*) OVER p) AS block
   FROM lin WINDOW p AS (PARTITION BY phenotype))"""
@@ -114,21 +115,21 @@ def ldsc_input(spark, sf):
     common = G.filter_maf(G.variant_counts(view(spark, sf, "fx_packed")), 0.01).select("row_id")
     scores = ld.ld_score(panel_ld(spark, sf), common)
     chisq = F.pow(F.col("beta") / F.col("beta_se"), F.lit(2.0))
-    return matched(spark, sf).join(scores, "row_id").select("phenotype", "row_id", "n_eff", chisq.alias("chisq"), "ld_score")
+    return S.passing(checked(spark, sf)).join(scores, "row_id").select("phenotype", "row_id", "n_eff", chisq.alias("chisq"), "ld_score")
 
 
-@query("ldsc", oracle(_ldsc_sql(LDSC_ITER, 6), "fx_pvar", "fx_gwas", "fx_dosage"))
+# Twenty rounds in SQL stand for "until nothing moves"; hence the fewer digits.
+@query("ldsc", oracle(_ldsc_sql(LDSC_ROUNDS, 4), "fx_pvar", "fx_gwas", "fx_dosage"))
 def ldsc(spark, sf):
-    """Both steps with a fixed number of reweightings, and the block jackknife."""
-    out = S.ldsc(ldsc_input(spark, sf), blocks=LDSC_BLOCKS, n_iter=LDSC_ITER, tol=0.0)
-    return out.select("phenotype", *[r6(c).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
+    """Both steps until the weights settle, and the block jackknife, at the library's settings."""
+    out = S.ldsc(ldsc_input(spark, sf))
+    return out.select("phenotype", *[r6(c, 4).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
 
 
-# Twenty rounds in SQL stand for "until nothing moves"; hence the fewer digits.
-@query("ldsc_converged", oracle(_ldsc_sql(20, 4, floor=True), "fx_pvar", "fx_gwas", "fx_dosage"))
+@query("ldsc_converged", oracle(_ldsc_sql(LDSC_ROUNDS, 4, floor=True), "fx_pvar", "fx_gwas", "fx_dosage"))
 def ldsc_converged(spark, sf):
     """Reweighted until the predictions settle, negative heritability replaced."""
-    out = S.initial_h2(S.ldsc(ldsc_input(spark, sf), blocks=LDSC_BLOCKS))
+    out = S.initial_h2(S.ldsc(ldsc_input(spark, sf)))
     return out.select("phenotype", *[r6(c, 4).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
 
 
@@ -217,10 +218,34 @@ def model_export(spark, sf):
     return S.export_model(stats, beta).withColumn("effect", r6("effect"))
 
 
-@query("ldpred_auto")
-def ldpred_auto(spark, sf):
-    """Score models of every trait from a few short chains; checked in the tests."""
+@query(
+    "ldpred_auto_check",
+    oracle(
+        f"""{_QC} SELECT phenotype, count(*) AS n_variants, CAST({ldpred.CHAINS} AS BIGINT) AS chains, CAST(0 AS BIGINT) AS violations
+FROM qc WHERE NOT fail_qc GROUP BY phenotype""",
+        "fx_pvar", "fx_gwas", "fx_dosage",
+    ),
+)
+def ldpred_auto_check(spark, sf):
+    """Every chain has every variant, and proportions, heritability and effects stay within bounds."""
     passed = S.passing(checked(spark, sf))
     h2 = passed.select("phenotype").distinct().withColumn("h2", F.lit(0.1))
-    effects, _ = ldpred.ldpred_auto(passed, panel_ld(spark, sf, 0.05), h2, [1e-4, 1e-2, 0.2], burn_in=2, rounds=3, sweeps=10)
+    effects, chains = ldpred.ldpred_auto(passed, panel_ld(spark, sf), h2, burn_in=2, rounds=2, sweeps=4)
+    seen = effects.join(passed.select("phenotype", "row_id"), ["phenotype", "row_id"])
+    odd = (F.isnan("beta_est") | ~(F.abs("beta_est") < float("inf")) | ~(F.abs("corr_est") < float("inf"))).cast("bigint")
+    sizes = seen.groupBy("phenotype").agg(
+        F.count_distinct("row_id").alias("n_variants"), F.count_distinct("chain").alias("chains"), F.count(F.lit(1)).alias("cells"), F.sum(odd).alias("odd")
+    )
+    bad = (~((F.col("p_est") >= 0) & (F.col("p_est") <= 1) & (F.col("h2_est") > 0) & (F.size("path_p_est") == 2))).cast("bigint")
+    wrong = chains.groupBy("phenotype").agg(F.sum(bad).alias("bad"))
+    total = F.col("odd") + F.col("bad") + (F.col("cells") != F.col("n_variants") * F.col("chains")).cast("bigint")
+    return sizes.join(wrong, "phenotype").select("phenotype", "n_variants", "chains", total.alias("violations"))
+
+
+@query("ldpred_auto")
+def ldpred_auto(spark, sf):
+    """Score models of every trait: quality filter, LD-score heritability, all chains, kept-chain mean."""
+    passed = cut(S.passing(checked(spark, sf)))
+    h2 = cut(S.initial_h2(S.ldsc(ldsc_input(spark, sf))).select("phenotype", F.coalesce(F.nanvl("h2", F.lit(None)), F.lit(0.001)).alias("h2")))
+    effects, _ = ldpred.ldpred_auto(passed, panel_ld(spark, sf), h2)
     return ldpred.auto_model(passed, effects)

@@ -455,6 +455,37 @@ def bayesian_ridge(spark, sf):
     return out.select("phenotype", "fold", "n", "intercept", "alpha", "lambda", "n_iter", "coef")
 
 
+_PRIOR = "2e-6"
+
+
+def _one_variant_sql() -> str:
+    """The evidence updates of a single variant are scalar, so a recursion runs them to the tolerance."""
+    return f"""{_DESIGN},
+one AS (SELECT phenotype, fold, iid, y, x[1] AS x1 FROM folded),
+tr AS (SELECT k.phenotype, k.fold, CAST(count(*) AS DOUBLE) AS n, var_pop(x1) * count(*) AS s, covar_pop(x1, y) * count(*) AS d, var_pop(y) * count(*) AS yy,
+  avg(x1) AS mx, avg(y) AS my FROM (SELECT DISTINCT phenotype, fold FROM one) k JOIN one f ON f.phenotype = k.phenotype AND f.fold <> k.fold GROUP BY ALL),
+it AS (
+  SELECT phenotype, fold, 0 AS step, CASE WHEN yy > 0 THEN n / yy ELSE 1.0e0 END AS alpha, 1.0e0 AS lam, CAST(NULL AS DOUBLE) AS w, false AS done FROM tr
+  UNION ALL
+  SELECT phenotype, fold, step + 1, (n - g + {_PRIOR}) / (greatest(yy - 2 * c * d + c * c * s, 0) + {_PRIOR}), (g + {_PRIOR}) / (c * c + {_PRIOR}), c,
+    coalesce(step > 0 AND abs(w - c) < 1e-3, false)
+  FROM (SELECT it.*, n, s, d, yy, d / (s + lam / alpha) AS c, alpha * s / (lam + alpha * s) AS g FROM it JOIN tr USING (phenotype, fold) WHERE NOT done AND step < 300)),
+fin AS (SELECT phenotype, fold, max(step) AS steps, arg_max(alpha, step) AS alpha, arg_max(lam, step) AS lam FROM it GROUP BY ALL)
+SELECT phenotype, fold, CAST(n AS BIGINT) AS n, round(d / (s + lam / alpha), 6) + 0.0e0 AS w, round(my - d / (s + lam / alpha) * mx, 6) + 0.0e0 AS intercept,
+  round(ln(alpha), 5) + 0.0e0 AS log_alpha, round(ln(lam), 5) + 0.0e0 AS log_lambda, CAST(steps AS BIGINT) AS n_iter FROM fin JOIN tr USING (phenotype, fold)"""
+
+
+@query("bayesian_ridge_one", oracle(_one_variant_sql(), "fx_trait", "fx_design").replace("WITH ", "WITH RECURSIVE ", 1))
+def bayesian_ridge_one(spark, sf):
+    """Ridge of the first variant alone."""
+    one = training.assign_folds(design(spark, sf), ["phenotype"]).withColumn("x", F.slice("x", 1, 1))
+    out = evaluation.fold_models(one)
+    return out.select(
+        "phenotype", "fold", "n", r6(F.get("coef", F.lit(0))).alias("w"), r6("intercept").alias("intercept"),
+        r6(F.ln("alpha"), 5).alias("log_alpha"), r6(F.ln("lambda"), 5).alias("log_lambda"), "n_iter",
+    )
+
+
 @query("cross_validate")
 def cross_validate(spark, sf):
     out = evaluation.cross_validate(design(spark, sf), weights(spark, sf))

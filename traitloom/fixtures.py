@@ -111,7 +111,7 @@ FROM {{part}}""",
     + " FROM {embeddings}",
     "fx_qc": "SELECT c_custkey AS sample_id, c_mktsegment AS array_type, CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS in_ancestry_subset, "
     + ", ".join(f"CAST(element_at(embedding, {i}) AS DOUBLE) AS PC{i}" for i in range(1, 11))
-    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500",
+    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % {vectors}",
     # Sample-major genotypes: 64 variants per sample, so this one grows with the samples.
     "fx_design": """
 SELECT vec_id AS iid, transform(embedding, e -> CAST(CASE WHEN e < -0.05 THEN 0 WHEN e < 0.08 THEN 1 ELSE 2 END AS DOUBLE)) AS x
@@ -127,7 +127,7 @@ FROM (SELECT CAST(unnest(range({PANEL})) AS BIGINT) AS iid, p_partkey AS row_id
     + " FROM {embeddings}",
     "fx_qc": "SELECT c_custkey AS sample_id, c_mktsegment AS array_type, CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS in_ancestry_subset, "
     + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS PC{i}" for i in range(1, 11))
-    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500",
+    + " FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % {vectors}",
     "fx_design": """
 SELECT vec_id AS iid, [CAST(CASE WHEN e < -0.05 THEN 0 WHEN e < 0.08 THEN 1 ELSE 2 END AS DOUBLE) FOR e IN embedding] AS x
 FROM {embeddings}""",
@@ -153,6 +153,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a DataFrame over the Parquet tables in ``sf_dir``."""
     tables = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in BASE}
     tables |= {"explode": "explode(array", "end": ")"}
+    if name == "fx_qc":
+        tables["vectors"] = str(max(1, spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").count()))
     texts = {**SHARED, **SPARK_ONLY}
     return spark.sql(f"WITH {_ctes(_closure((name,)), texts, tables)} SELECT * FROM {name}")
 
@@ -162,7 +164,7 @@ def oracle(body: str, *names: str) -> str:
 
     ``body`` starts with SELECT, or with further ``name AS (...)`` items ending in a SELECT.
     """
-    tables = {t: t for t in BASE} | {"explode": "unnest(list_value", "end": ")"}
+    tables = {t: t for t in BASE} | {"explode": "unnest(list_value", "end": ")", "vectors": "(SELECT count(*) FROM embeddings)"}
     texts = {**SHARED, **DUCK_ONLY}
     body = body.strip()
     ctes = _ctes(_closure(names), texts, tables)

@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Complement of each base, and of the four stand-in letters that
-# allele strings may carry.
-STRAND_FROM = "ACGTVXYZ"
-STRAND_TO = "TGCATAGC"
+# Complement of each base.
+STRAND_FROM = "ACGT"
+STRAND_TO = "TGCA"
 
 
 def _c(col: Column | str) -> Column:
@@ -33,6 +32,11 @@ def flip_strand(col: Column | str) -> Column:
     return F.translate(_c(col), STRAND_FROM, STRAND_TO)
 
 
+def select_rename(df: DataFrame, where: Column, columns: dict[str, Column | str]) -> DataFrame:
+    """Rows of one kind, with the given columns under their new names."""
+    return df.where(where).select(*[_c(c).alias(name) for name, c in columns.items()])
+
+
 def normalise_chr(col: Column | str) -> Column:
     """Chromosome as an integer; sex chromosomes, contigs and junk become NULL."""
     return F.regexp_replace(_c(col).cast("string"), "^chr", "").try_cast("int")

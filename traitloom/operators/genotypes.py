@@ -8,8 +8,11 @@ Sample manifest: (iid, sample_idx), ``sample_idx`` counting from 0 in file order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 from traitloom.functions.expressions import finite, genotype_sd, hard_call
 
 SAMPLES_PER_BLOCK = 16_384
+HARD_CALL = 0.1
 
 
 def _nan() -> Column:
@@ -66,22 +70,52 @@ def unpack_genotypes(packed: DataFrame, samples: DataFrame, block: int = SAMPLES
     )
 
 
-def _cells(genotypes: DataFrame) -> DataFrame:
-    if is_packed(genotypes):
-        return genotypes.select("row_id", F.explode("doses").alias("d")).withColumn("d", finite("d").cast("double"))
-    return genotypes.select("row_id", finite(F.col("alt_dosage").cast("double")).alias("d"))
+COUNTS = ("n", "n_called", "dose_sum", "dose_sq", "n_hom_ref", "n_het", "n_hom_alt")
+
+
+def _packed_counts(packed: DataFrame) -> DataFrame:
+    """Counts of each packed row, all cells of a batch at once."""
+    row_type = dict(packed.dtypes)["row_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doses = batch.column(1)
+            size = np.diff(doses.offsets.to_numpy())
+            d = doses.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.repeat(np.arange(len(size)), size)
+            known = ~np.isnan(d)
+            row_known, d = row[known], d[known]
+            call = np.rint(d)
+            called = np.abs(d - call) <= HARD_CALL
+
+            def total(weights: np.ndarray | None, of: np.ndarray = row_known) -> np.ndarray:
+                return np.bincount(of, weights=weights, minlength=len(size))
+
+            values = [size, total(None), total(d), total(d * d)]
+            values += [total((called & (call == g)).astype(float)) for g in (0, 1, 2)]
+            kinds = [np.int64, np.int64, np.float64, np.float64, np.int64, np.int64, np.int64]
+            columns = [pa.array(v.astype(t)) for v, t in zip(values, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row_id", *COUNTS])
+
+    schema = f"row_id {row_type}, " + ", ".join(f"{c} {'double' if c.startswith('dose') else 'bigint'}" for c in COUNTS)
+    return packed.select("row_id", F.coalesce("doses", F.array().cast("array<float>")).alias("doses")).mapInArrow(count, schema)
 
 
 def variant_counts(genotypes: DataFrame) -> DataFrame:
     """Per variant: samples, called samples, frequency, dosage variance, genotype counts.
 
-    One pass serves every filter below. The cells of a packed row are summed before the
-    shuffle, so only one row per variant and task is exchanged.
+    One pass serves every filter below. Packed rows are counted as arrays, a row per variant
+    and sample block; long cells are summed before the shuffle.
     """
+    if is_packed(genotypes):
+        parts = _packed_counts(genotypes).groupBy("row_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+        mean = F.try_divide("dose_sum", "n_called")
+        spread = F.greatest(F.try_divide("dose_sq", "n_called") - mean * mean, F.lit(0.0))
+        return parts.select("row_id", "n", "n_called", (mean / 2).alias("freq"), spread.alias("dose_var"), *COUNTS[4:])
+    cells = genotypes.select("row_id", finite(F.col("alt_dosage").cast("double")).alias("d"))
     d, g = F.col("d"), hard_call("d")
     return (
-        _cells(genotypes)
-        .groupBy("row_id")
+        cells.groupBy("row_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count(d).alias("n_called"),
@@ -127,21 +161,87 @@ def filter_mach_r2(counts: DataFrame, minimum: float = 0.3) -> DataFrame:
     return counts.where(mach_r2() >= minimum)
 
 
+class _Hets:
+    """Probabilities of heterozygote counts given the alleles, for many variants at once.
+
+    Counts go up and down in twos. All probabilities are relative to a given count, and sums
+    run outwards until a term no longer changes them, a few standard deviations long.
+    """
+
+    def __init__(self, hom_ref: np.ndarray, het: np.ndarray, hom_alt: np.ndarray):
+        self.n = hom_ref + het + hom_alt
+        self.rare = 2 * np.minimum(hom_ref, hom_alt) + het
+        log = np.log(np.arange(1, max(2, int(self.n.max(initial=1)) + 1)))
+        self.log_fact = np.concatenate([[0.0], np.cumsum(log)])
+
+    def log_p(self, h: np.ndarray) -> np.ndarray:
+        hom = (self.rare - h) // 2
+        f = self.log_fact
+        return h * np.log(2.0) - f[h] - f[hom] - f[self.n - h - hom]
+
+    def mode(self) -> np.ndarray:
+        """The likeliest count, by halving over the rising stretch."""
+        low, high = self.rare % 2, self.rare.copy()
+        while (low < high).any():
+            mid = low + (high - low) // 4 * 2
+            rises = (mid < high) & (self.log_p(np.minimum(mid + 2, self.rare)) > self.log_p(mid))
+            low = np.where(rises, mid + 2, low)
+            high = np.where(rises, high, mid)
+        return low
+
+    def first_at_most(self, bound: np.ndarray, mode: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Next count beyond the mode, upwards or downwards, that is no likelier than ``bound``.
+
+        Outside the possible counts (by one step) if there is none.
+        """
+        step = np.where(up, 2, -2)
+        low, high = np.zeros(len(mode), np.int64), np.where(up, (self.rare - mode) // 2, (mode - self.rare % 2) // 2) + 1
+        while (low < high).any():
+            mid = (low + high) // 2
+            at = np.clip(mode + step * mid, self.rare % 2, self.rare)
+            inside = (mode + step * mid == at) & (self.log_p(at) > bound + 1e-9)
+            low = np.where((low < high) & inside, mid + 1, low)
+            high = np.where((low <= high) & ~inside, np.minimum(high, mid), high)
+        return mode + step * low
+
+    def tail(self, start: np.ndarray, up: np.ndarray, relative: np.ndarray) -> np.ndarray:
+        """Sum of exp(log_p - relative) from ``start`` outwards."""
+        total, live, h = np.zeros(len(start)), np.arange(len(start)), start.copy()
+        ok = (h >= 0) & (h <= self.rare)
+        live, h = live[ok], h[ok]
+        hom = (self.rare[live] - h) // 2
+        term = np.exp(self._at(live, h) - relative[live])
+        while len(live):
+            total[live] += term
+            other = self.n[live] - h - hom
+            higher = up[live]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(higher, 4.0 * hom * other / ((h + 2.0) * (h + 1.0)), h * (h - 1.0) / (4.0 * (hom + 1.0) * (other + 1.0)))
+            term = term * ratio
+            h, hom = h + np.where(higher, 2, -2), hom + np.where(higher, -1, 1)
+            go = term > 1e-17 * total[live]
+            live, h, hom, term = live[go], h[go], hom[go], term[go]
+        return total
+
+    def _at(self, live: np.ndarray, h: np.ndarray) -> np.ndarray:
+        hom, f = (self.rare[live] - h) // 2, self.log_fact
+        return h * np.log(2.0) - f[h] - f[hom] - f[self.n[live] - h - hom]
+
+
 @F.pandas_udf(T.DoubleType())
 def hwe_exact(hom_ref: pd.Series, het: pd.Series, hom_alt: pd.Series) -> pd.Series:
     """Exact Hardy-Weinberg p: probability of a heterozygote count at most as likely as ours."""
-    n = (hom_ref + het + hom_alt).to_numpy(dtype=np.int64)
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(2, n.max(initial=1) + 1))))])
-    out = np.empty(len(n))
-    for k, (a, h, b) in enumerate(zip(hom_ref.to_numpy(), het.to_numpy(), hom_alt.to_numpy())):
-        rare = int(2 * min(a, b) + h)
-        hets = np.arange(rare % 2, rare + 1, 2)
-        hom_rare = (rare - hets) // 2
-        logp = hets * np.log(2.0) - log_fact[hets] - log_fact[hom_rare] - log_fact[n[k] - hets - hom_rare]
-        p = np.exp(logp - logp.max())
-        mine = p[hets == h][0]
-        out[k] = min(1.0, p[p <= mine * (1 + 1e-9)].sum() / p.sum())
-    return pd.Series(out)
+    a, h, b = (x.to_numpy(dtype=np.int64) for x in (hom_ref, het, hom_alt))
+    hets = _Hets(a, h, b)
+    mode, mine = hets.mode(), hets.log_p(h)
+    top = hets.log_p(mode)
+    yes = np.ones(len(h), bool)
+    total = hets.tail(mode, yes, top) + hets.tail(mode - 2, ~yes, top)
+    above = h >= mode
+    same = hets.tail(h, above, mine)
+    other = hets.tail(hets.first_at_most(mine, mode, ~above), ~above, mine)
+    p = np.exp(mine - top) * (same + other) / total
+    return pd.Series(np.where(mine >= top - 1e-9, 1.0, np.minimum(1.0, p)))
 
 
 def hwe_chisq() -> Column:

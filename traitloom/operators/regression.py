@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.operators.ordering import null_safe_on
+from traitloom.operators.ordering import null_safe_on, row_index
 from traitloom.session import cut
 
 
@@ -112,13 +112,24 @@ def residualise(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -
     return joined.withColumn(y, F.col(y) - fitted(xs)).select(*df.columns)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> DataFrame:
-    """Indicator columns ``<col>_<level>``; the alphabetically first level is left out."""
+def level_codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
+    """Add ``name``: the place of the level from 0 in alphabetical order, NULL where the level is.
+
+    The levels are a joined table, so there may be as many as there are rows.
+    """
+    levels = row_index(df.where(F.col(col).isNotNull()).select(col).distinct(), [col], "__place")
+    coded = join_stats(df, levels.withColumn("__place", F.col("__place") - 1), [col], ["__place"], "left")
+    return coded.withColumnRenamed("__place", name)
+
+
+def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Indicator columns ``<col>_<level>``; the alphabetically first level is left out.
+
+    The levels become the schema, so they are read on the driver: for factors of a
+    model. A column with very many levels is better coded with ``level_codes``.
+    """
     for c in cols:
-        found = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_levels + 1).collect()
-        if len(found) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        levels = sorted(row[0] for row in found)
+        levels = sorted(row[0] for row in df.where(F.col(c).isNotNull()).select(c).distinct().collect())
         df = df.select(
             "*", *[F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for v in levels[1:]]
         ).drop(c)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitloom.operators.ordering import null_safe_on
-from traitloom.session import cut, spread
+from traitloom.session import cut, drop_cut, spread
 
 # Fixed value: the 97.5 % point of the normal distribution.
 Z975 = 1.959963984540054
@@ -185,7 +185,8 @@ def cox_ph(
             "a.*", *[f"b.{c}" for c in ("beta", "prev", "ll", "steps")]
         )
         moved = fed.groupBy(*keys).applyInPandas(step, state_schema)
-        state = cut(state.where("NOT open").unionByName(moved))
+        old, state = state, cut(state.where("NOT open").unionByName(moved))
+        drop_cut(old)
     return state.select(
         *keys, F.col("beta").alias("coef"), "se", (~F.col("open")).alias("converged"),
         F.col("steps").alias("iterations"), F.col("ll").alias("loglik"),

@@ -68,7 +68,7 @@ def phewas(scores: DataFrame, survival: DataFrame, qc: DataFrame, components: Se
     return hazard_ratios(fits, KEYS)
 
 
-def rank_associations(results: DataFrame, n: int | None = None) -> DataFrame:
-    """By p-value, missing last; the best ``n`` if asked for."""
-    ordered = results.orderBy(F.asc_nulls_last("pvalue"))
+def rank_associations(results: DataFrame, n: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """By p-value, missing last, equals by ``ties``; the best ``n`` if asked for."""
+    ordered = results.orderBy(F.asc_nulls_last("pvalue"), *ties)
     return ordered if n is None else ordered.limit(n)

@@ -49,20 +49,18 @@ def select_qtls(
     regions: DataFrame,
     p_trans: float,
     p_cis: float,
-    measures: DataFrame | None = None,
+    measures: DataFrame,
     flank: int = 1_000_000,
     boundary: str = "reference",
 ) -> DataFrame:
     """Trans and cis QTLs of every trait: phenotype, rsid, chr, pos, alleles, effect, pval.
 
     ``sumstats``: phenotype, chr, pos, effect_allele, other_allele, beta, pval, measure_id.
-    ``measures``: phenotype, n; how many rows per variant a phenotype needs (default: its
-    number of distinct measures). Among rows at one site the smallest mean p wins, then the
+    ``measures``: phenotype, n; how many rows per variant a phenotype needs, from
+    its info sheet or ``measures_per_trait`` of its full results. Among rows at one site the smallest mean p wins, then the
     first effect allele and other allele.
     """
     check_thresholds(p_trans, p_cis)
-    if measures is None:
-        measures = measures_per_trait(sumstats)
     weakest = filter_pvalue(sumstats, max(p_trans, p_cis))
     matched = drop_missing(harmonise(weakest, _variants_with_site_id(variants), carry=["rsid"]), "beta")
     # The site's ID depends on (chr, pos) alone: as a grouping column it costs no further

@@ -12,6 +12,7 @@ from traitloom.functions.expressions import clean_name, marker_chr, marker_pos,
 from traitloom.operators.genotypes import to_long
 from traitloom.operators.joins import union_all
 from traitloom.operators.ordering import row_index
+from traitloom.session import cut
 
 _NO_SEP = "\u0001"
 
@@ -94,8 +95,8 @@ def file_lines(spark: SparkSession, path) -> DataFrame:
     return reader.schema("line string").csv(path).select("line", F.col("_metadata.file_path").alias("path"))
 
 
-def read_sumstats(spark: SparkSession, path, layout: SumstatLayout, max_p: float | None = 0.01) -> DataFrame:
-    """Summary statistics by column position, below ``max_p``: fields and the file ``path``.
+def read_sumstats(spark: SparkSession, path, layout: SumstatLayout, max_p: float | None = None) -> DataFrame:
+    """Summary statistics by column position: fields and the file ``path``. ``max_p`` drops weaker rows at the scan.
 
     Fields are separated by white space and the header is skipped unread. A threshold on a
     log10 p-value is applied on the log scale. A gzip file is one task however large; the
@@ -155,15 +156,26 @@ def read_dosage_wide(spark: SparkSession, path) -> DataFrame:
 
 
 def read_with_preamble(spark: SparkSession, path, skip: int = 31, sep: str = " ") -> DataFrame:
-    """A delimited file whose header follows ``skip`` other lines; all columns are text."""
+    """Delimited files whose header follows ``skip`` other lines in each; all columns are text.
+
+    The first file by name gives the column names; another header in a file is an error. The preamble has to lie in the first block of a file.
+    """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")
+        "value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
+        F.monotonically_increasing_id().alias("__m"),
     )
-    # Rows of the first block are numbered in line order, so its head tells the rest.
-    head = lines.where("__b = 0").take(skip + 1)
-    names, last = head[skip]["value"].split(sep), head[skip]["__m"]
-    data = lines.where((F.col("__b") > 0) | (F.col("__m") > last)).select(F.split("value", sep.replace("|", r"\|")).alias("f"))
-    return data.select(*[F.get("f", i).alias(n) for i, n in enumerate(names)])
+    # Rows of the first block are numbered in line order: its least number places the header.
+    heads = cut(lines.where("__b = 0").groupBy("__f").agg((F.min("__m") + skip).alias("__last")))
+    at = lines.join(heads, "__f")
+    header = at.where("__b = 0 AND __m = __last").select("__f", "value")
+    named = header.orderBy("__f").first()
+    if named is None:
+        raise ValueError("no header line")
+    odd = header.where(F.col("value") != named["value"]).first()
+    if odd is not None:
+        raise ValueError(f"{odd['__f']} has another header than {named['__f']}")
+    data = at.where((F.col("__b") > 0) | (F.col("__m") > F.col("__last"))).select(F.split("value", sep.replace("|", r"\|")).alias("f"))
+    return data.select(*[F.get("f", i).alias(n) for i, n in enumerate(named["value"].split(sep))])
 
 
 def read_phecode(spark: SparkSession, path) -> DataFrame:
