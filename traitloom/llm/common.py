@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from traitloom.session import cut  # noqa: F401  (operators take it from here)
 
 
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 
 def text_or_empty(name: str) -> Column:

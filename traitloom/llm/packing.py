@@ -26,7 +26,8 @@ from traitloom.llm.tokens import TextIds
 
 WINDOW = 2048
 END_ID = 1
-HOLD = 1 << 23  # ids that wait in a task before full windows leave
+BATCH = 1 << 20  # ids in a batch of pieces that leaves a task
+HOLD = 1 << 22  # ids that wait in a task before full windows leave
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -121,19 +122,20 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
-        waiting, out = Waiting(window), []
+        waiting, out, room = Waiting(window), [], BATCH
 
         def place(contents: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, out
+            nonlocal sequence, out, room
             for content in contents:
                 offset = 0
                 for doc, start, total, ids in content:
                     out.append((doc, start, len(ids), zlib.crc32(ids), total, sequence, offset, ids))
                     offset += len(ids)
                 sequence += 1
-                if len(out) >= 4096:
+                room -= offset
+                if room <= 0:
                     yield _pieces(out, with_ids)
-                    out = []
+                    out, room = [], BATCH
 
         for batch in batch_pieces(batches, "text"):
             count, flat = encoder.value.ids(batch.column(1))
@@ -150,7 +152,7 @@ def pack(
         yield from place(waiting.filled(cut=True))
         yield _pieces(out, with_ids)
 
-    return rows.mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _pieces(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -159,6 +161,6 @@ def _pieces(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
     if with_ids:
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in columns[7]])]).astype(np.int32)
-        values = np.concatenate(columns[7]).astype(np.int64) if rows else np.zeros(0, np.int64)
-        arrays.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64())))
+        values = np.concatenate(columns[7]).view(np.int32) if rows else np.zeros(0, np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32())))
     return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)

@@ -55,12 +55,11 @@ class TextIds:
     def _open(self) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(self.ranks, "rb") as f:
             merge = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=merge, special_tokens={})
-        self.plain = Tokenizer.from_file(self.vocab)
+        self.plain = None  # opened with the first text that needs it
         self.bytes_of = np.zeros(max(merge.values()) + 1, np.int64)
         self.bytes_of[list(merge.values())] = [len(k) for k in merge]
         self.table, self.points = _classes()
@@ -121,6 +120,10 @@ class TextIds:
         count = np.bincount(row, weights=sizes, minlength=len(column)).astype(np.int64)
         if not len(slow):
             return count, flat
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.vocab)
         plain = [np.array(e.ids, np.int32) for e in self.plain.encode_batch(column.take(pa.array(slow)).to_pylist(), add_special_tokens=False)]
         count[slow] = [len(p) for p in plain]
         out = np.empty(int(count.sum()), np.int32)
