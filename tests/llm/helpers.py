@@ -58,6 +58,21 @@ def simhash(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def simhashes(text, size, count):
+    """The first fingerprint and those of the mixed hashes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if not words:
+        return [0] * count
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]).encode(), 42) for i in range(max(1, len(words) - size + 1))]
+    out = []
+    for k in range(count):
+        if k:
+            hashes = [(h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 for h in hashes]
+            hashes = [h ^ h >> 32 for h in hashes]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
 def components(nodes, linked):
     """Smallest reachable index of every node, ``linked(i, j)`` telling whether two link."""
     root = list(range(len(nodes)))

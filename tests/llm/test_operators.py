@@ -107,12 +107,13 @@ def test_simhash_edges(edge):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter([1, 3, None, 6, 8, 9, 10])
 
 
-def test_links_keep_components(spark):
+@pytest.mark.parametrize("bits", [3, 7])
+def test_links_keep_components(spark, bits):
     """Clusters, chains of three bits and one dense ball, with small shards and leaves."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 600, dtype=np.uint64)
     parts = [base, np.repeat(base[7:8], 700)]
-    for k in (1, 2, 3, 4):
+    for k in (1, 2, bits, bits + 1):
         part = base[:150].copy()
         for _ in range(k):
             part ^= np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)
@@ -121,10 +122,10 @@ def test_links_keep_components(spark):
         parts[1] = parts[1] ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64))
     values = np.unique(np.concatenate(parts))
     prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    links = simhash.links(prints, shard=64, sample=400)
+    links = simhash.links(prints, shard=64, sample=400, bits=bits)
     roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     got = [roots.get(int(v), int(v)) for v in values.view(np.int64)]
-    want = helpers.components([int(v) for v in values], lambda a, b: (a ^ b).bit_count() <= 3)
+    want = helpers.components([int(v) for v in values], lambda a, b: (a ^ b).bit_count() <= bits)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 

@@ -26,8 +26,8 @@ def test_stages(spark, sf_dir):
     assert set(exact) == set(least.values())
     # One of each component of fingerprints of five words.
     ids = sorted(exact)
-    prints = [helpers.simhash(exact[i], 5) for i in ids]
-    root = helpers.components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    prints = [helpers.simhashes(exact[i], 5, 4) for i in ids]
+    root = helpers.components(prints, lambda a, b: any((x ^ y).bit_count() <= 7 for x, y in zip(a, b)))
     assert set(near) == {ids[r] for r in root}
     # Personal data is gone and the rest is as it was.
     assert set(clean) == set(near)

@@ -1,7 +1,8 @@
 """Near-duplicate documents: SimHash fingerprints joined through vantage-point trees.
 
 Fingerprints that differ in at most three of 64 bits differ in at most one bit of one 32-bit
-half, so each half has its own tree and a search radius of one. A tree node holds a vantage
+half, and at most seven in at most one bit of one 16-bit quarter. So each part has its own tree
+and a search radius of one. A tree node holds a vantage
 code and a Hamming radius: codes within it go to one side, the rest to the other, and a
 query follows every side that the triangle inequality cannot rule out. The leaves are the
 shards: each fingerprint is indexed in one and asked in all that its ball overlaps. Inside a
@@ -34,13 +35,17 @@ _LOWER[65:91] += 32
 _BITS = np.zeros((2048, 64))
 for _k in range(8):
     _BITS[256 * _k : 256 * _k + 256, 8 * _k : 8 * _k + 8] = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BYTE_BASE = (256 * np.arange(8))[None, :]
 
 
-def fingerprints_of(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
-    """SimHash per row of a byte buffer with row offsets ``at``."""
+def fingerprints_of(raw: np.ndarray, at: np.ndarray, shingle: int, prints: int = 1) -> np.ndarray:
+    """SimHashes per row of a byte buffer with row offsets ``at``: rows x ``prints``.
+
+    The first one takes the shingles' hashes as they are, the others a mixture of them each.
+    """
     n = len(at) - 1
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, prints), np.uint64)
     if not len(raw):
         return out
     buf = _LOWER[raw]
@@ -70,17 +75,22 @@ def fingerprints_of(raw: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray
     hashes = np.fromiter(
         (digest(data[a:b], SEED) for a, b in zip(begin[head].tolist(), end[tail].tolist())), np.uint64, count=len(head)
     )
-    cells = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTE_BASE
     stop = np.cumsum(count)
-    for i in np.flatnonzero(count):
-        seen = np.bincount(cells[stop[i] - count[i] : stop[i]].ravel(), minlength=2048)
-        ones = seen @ _BITS * 2 > count[i]
-        out[i] = np.packbits(ones).view(">u8")[0]
+    for k in range(prints):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * _MIX
+            hashes ^= hashes >> np.uint64(32)
+        cells = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTE_BASE
+        for i in np.flatnonzero(count):
+            seen = np.bincount(cells[stop[i] - count[i] : stop[i]].ravel(), minlength=2048)
+            ones = seen @ _BITS * 2 > count[i]
+            out[i, k] = np.packbits(ones).view(">u8")[0]
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp", shingle: int = 5) -> DataFrame:
-    """All columns and ``name``: the SimHash of the whole text as a long.
+def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp", shingle: int = 5, prints: int = 1) -> DataFrame:
+    """All columns and ``name``: the SimHash of the whole text as a long; with ``prints`` above
+    one an array of as many independent ones.
 
     A-Z are lower-cased, words are runs of other than ASCII white space, a feature is a run of
     ``shingle`` words joined by blanks (all words if there are fewer), repeats included. Text
@@ -91,14 +101,23 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_pieces(batches, text_col):
             raw, at = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            prints = fingerprints_of(raw, at, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
+            found = fingerprints_of(raw, at, shingle, prints).view(np.int64)
+            column = pa.array(found[:, 0]) if prints == 1 else pa.FixedSizeListArray.from_arrays(found.ravel(), prints).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, widened(docs, **{name: "long" if prints == 1 else "array<long>"}))
 
-    return docs.mapInArrow(run, widened(docs, **{name: "long"}))
 
+def parts_for(bits: int) -> int:
+    """Into how many parts 64 bits go so that one of them differs in one bit at most."""
+    if not 0 <= bits <= 7:
+        raise ValueError("bits has to be 0 to 7")
+    return 2 if bits <= 3 else 4
 
-def _half(prints: np.ndarray, half: int) -> np.ndarray:
-    return (prints >> np.uint64(32 * half)).astype(np.uint32)
+
+def part_of(prints: np.ndarray, part: int, parts: int) -> np.ndarray:
+    width = 64 // parts
+    return ((prints >> np.uint64(width * part)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def _divide(codes: np.ndarray) -> tuple[int, int] | None:
@@ -170,10 +189,10 @@ class Forest:
         self.root[top] = top[0]
 
 
-def link_shard(prints: np.ndarray, own: np.ndarray, half: int, bits: int = MAX_BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+def link_shard(prints: np.ndarray, own: np.ndarray, part: int, bits: int = MAX_BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (row, root) of the links between own fingerprints and all others here."""
-    codes, forest = _half(prints, half), Forest(len(prints))
-    reach = bits // 2
+    parts = parts_for(bits)
+    codes, forest, reach = part_of(prints, part, parts), Forest(len(prints)), bits // parts
     stack = [(np.flatnonzero(own), np.arange(len(prints)))]
     while stack:
         mine, asked = stack.pop()
@@ -204,34 +223,33 @@ def link_shard(prints: np.ndarray, own: np.ndarray, half: int, bits: int = MAX_B
 
 def links(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE, bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that keep the components of the graph
-    of all pairs at most ``bits`` (3 or fewer) apart.
+    of all pairs at most ``bits`` (7 or fewer) apart.
 
     ``prints`` has one row per fingerprint. A hash sample of at most ``sample`` of them places
     the tops of the trees; it changes the balance of the shards, not the links.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("bits has to be 0 to 3")
+    parts = parts_for(bits)
     total = prints.count()
     seen = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     picked = np.array([r["fp"] for r in seen], np.int64).view(np.uint64)
     # At most sample / 8 leaves, so the trees sent to the tasks have a fixed bound; a shard
     # that holds more than ``shard`` rows divides itself further.
     leaves = max(1, min(total // shard, sample // 8))
-    tops = [Shards(_half(picked, half), leaves, bits // 2) for half in (0, 1)]
+    tops = [Shards(part_of(picked, part, parts), leaves, bits // parts) for part in range(parts)]
     trees = shared(prints.sparkSession, tops)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(0).to_numpy()
-            for half in (0, 1):
-                for leaf, rows, own in trees.value[half].route(_half(held.view(np.uint64), half)):
+            for part, tree in enumerate(trees.value):
+                for leaf, rows, own in tree.route(part_of(held.view(np.uint64), part, parts)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), 2 * leaf + half, np.int32)), pa.array(held[rows]), pa.array(own)], ["shard", "fp", "own"]
+                        [pa.array(np.full(len(rows), parts * leaf + part, np.int32)), pa.array(held[rows]), pa.array(own)], ["shard", "fp", "own"]
                     )
 
     def search(table: pa.Table) -> pa.Table:
         held = table["fp"].to_numpy()
-        row, root = link_shard(held.view(np.uint64), table["own"].to_numpy(), table["shard"][0].as_py() % 2, bits)
+        row, root = link_shard(held.view(np.uint64), table["own"].to_numpy(), table["shard"][0].as_py() % parts, bits)
         return pa.table({"a": held[row], "b": held[root]})
 
     dealt = prints.select("fp").mapInArrow(deal, "shard int, fp long, own boolean")
@@ -267,36 +285,57 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """fp, root, component_id for a table (fp, doc_id): a fingerprint that names the component, and its smallest doc_id."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp")))
+    roots = components(links(distinct.select("fp"), bits=bits))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(best, "root").select("fp", "root", "component_id")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    Fingerprints at most three bits apart link, the component is the smallest id reachable.
+    Fingerprints at most ``bits`` apart link, the component is the smallest id reachable.
     Texts without words share fingerprint zero and link like any other. Null ids belong to
     their component; its id is null if it has no other. Repeated rows come as often as given.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     prints = cut(with_fingerprint(rows, "text", "fp", shingle).select("doc_id", "fp"))
-    out = prints.join(classes(prints), "fp")
+    out = prints.join(classes(prints, bits), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The documents with one of each component left, the one with the smallest id; all columns."""
-    marked = with_fingerprint(docs, text_col, "__fp", shingle)
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 7, prints: int = 4
+) -> DataFrame:
+    """The documents with one of each component left, the one with the smallest id; all columns.
+
+    Documents link if any of their ``prints`` independent fingerprints differ in at most ``bits``.
+    A text takes part as its combination of fingerprints, so equal ones search once.
+    """
+    marked = with_fingerprint(docs, text_col, "__fps", shingle, max(2, prints)).withColumn("__fps", F.slice("__fps", 1, prints))
+    marked = marked.withColumn("__node", F.xxhash64("__fps"))
     ident = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull()}
-    prints = cut(marked.select("__fp", F.col(id_col).cast("long").alias("doc_id")).select(F.col("__fp").alias("fp"), "doc_id"))
-    kept = prints.join(classes(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).select(
-        "__fp", F.coalesce("component_id", F.lit(0)).alias("__id"), F.col("component_id").isNull().alias("__null")
+    seen = cut(marked.select("__node", F.col("__fps").alias("fps"), F.col(id_col).cast("long").alias("doc_id")))
+    nodes = cut(seen.groupBy(F.col("__node").alias("node")).agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")))
+    edges = None
+    for k in range(prints):
+        own = nodes.select("node", F.get("fps", F.lit(k)).alias("fp"))
+        first = cut(own.groupBy("fp").agg(F.min("node").alias("first")))
+        same = own.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        near = links(first.select("fp"), bits=bits)
+        near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("a_node")), "a")
+        near = near.join(first.select(F.col("fp").alias("b"), F.col("first").alias("b_node")), "b")
+        found = cut(same.union(near.select("a_node", "b_node")).where("a <> b"))
+        edges = found if edges is None else edges.union(found)
+    roots = components(edges)
+    placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    # The smallest id of each component, and of the texts that share it the smallest node.
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("b"))
+    kept = best.select(
+        F.col("b.node").alias("__node"), F.coalesce("b.least", F.lit(0)).alias("__id"), F.col("b.least").isNull().alias("__null")
     )
-    return keep_matching(marked.withColumns(ident), kept, ["__fp", "__id", "__null"]).drop("__fp", "__id", "__null")
+    return keep_matching(marked.withColumns(ident), kept, ["__node", "__id", "__null"]).drop("__node", "__id", "__null", "__fps")
