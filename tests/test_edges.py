@@ -325,3 +325,15 @@ def test_dropped_tables_are_gone(spark):
     assert os.path.isdir(folder)
     drop_cut(table)
     assert not os.path.isdir(folder)
+
+
+def test_running_sums_of_either_sign(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a" if i % 3 else None, i, float(rng.normal()), int(rng.integers(5))) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, o int, v double, n long").repartition(7)
+    got = ordering.running_sums(df, ["k"], ["o"], {"sv": "v", "sn": "n"}).collect()
+    assert len(got) == 900
+    for key in ("a", None):
+        part = sorted((r for r in got if r.k == key), key=lambda r: r.o)
+        assert np.allclose([r.sv for r in part], np.cumsum([r.v for r in part]))
+        assert np.allclose([r.sn for r in part], np.cumsum([r.n for r in part]))

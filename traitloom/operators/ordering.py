@@ -81,6 +81,40 @@ def running_sum(
     )
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weights: dict[str, str]) -> DataFrame:
+    """Add the inclusive running sums of several columns of either sign per key (one or more), in one sort.
+
+    ``weights`` maps new names to columns without NULL; ``order`` is unique within a key. Like
+    ``running_sum`` this spreads a hot key over the partitions of a sort.
+    """
+    keys, names = list(keys), list(weights)
+    ordered = df.orderBy(*keys, *order).withColumn("__mid", F.monotonically_increasing_id())
+    ordered = ordered.withColumns({f"__run_{n}": F.col(c).cast("double") for n, c in weights.items()})
+
+    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = np.zeros(len(names))
+        columns = [f"__run_{n}" for n in names]
+        for pdf in batches:
+            total = np.cumsum(pdf[columns].to_numpy(), axis=0) + carry
+            if len(total):
+                carry = total[-1]
+            yield pdf.assign(**{c: total[:, k] for k, c in enumerate(columns)})
+
+    ordered = cut(ordered.mapInPandas(accumulate, ordered.schema).withColumn("__part", F.shiftright("__mid", 33)))
+    # One row per partition of the sort: the bound is the number of shuffle partitions.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    last = ordered.groupBy("__part").agg(*[F.max_by(f"__run_{n}", "__mid").alias(n) for n in names])
+    starts = last.select("__part", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"__base_{n}") for n in names])
+    out = ordered.join(F.broadcast(starts), "__part")
+    out = out.withColumns({f"__run_{n}": F.col(f"__run_{n}") + F.col(f"__base_{n}") for n in names})
+    begun = F.struct(*[(F.col(f"__run_{n}") - F.col(c)).alias(n) for n, c in weights.items()])
+    first = cut(out.groupBy(*keys).agg(F.min_by(begun, "__mid").alias("__first")))
+    joined = out.alias("a").join(first.alias("b"), null_safe_on(keys, "a", "b"))
+    return joined.select(
+        *[F.col(f"a.{c}").alias(c) for c in df.columns], *[(F.col(f"a.__run_{n}") - F.col(f"b.__first.{n}")).alias(n) for n in names]
+    )
+
+
 def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:
     """Dense index from 1 in the given order, within ``keys`` if any."""
     return running_sum(df, keys, order, name)

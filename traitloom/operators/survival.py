@@ -11,11 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.operators.ordering import null_safe_on
+from traitloom.operators.ordering import null_safe_on, running_sums
 from traitloom.session import cut, drop_cut, spread
 
 # Fixed value: the 97.5 % point of the normal distribution.
@@ -25,12 +25,14 @@ Z975 = 1.959963984540054
 def risk_set(df: DataFrame, strata: Sequence[str], time: str, sums: dict[str, Column]) -> DataFrame:
     """Sums over the samples still at risk at each distinct time of a stratum.
 
-    ``sums`` maps a name to a value per sample. Samples are summed per time first, so the
-    running window holds one row per distinct time.
+    ``sums`` maps a name to a value per sample. Samples are summed per time first; the running
+    sums over the times are spread over the partitions of a sort, so a stratum may have as
+    many distinct times as samples.
     """
-    per_time = df.groupBy(*strata, time).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    later = Window.partitionBy(*strata).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per_time.select(*strata, time, *[F.sum(k).over(later).alias(k) for k in sums])
+    per_time = df.groupBy(*strata, time).agg(*[F.sum(v).alias(f"__at_{k}") for k, v in sums.items()])
+    kinds = {k: dict(per_time.dtypes)[f"__at_{k}"] for k in sums}
+    out = running_sums(per_time, strata, [F.col(time).desc()], {k: f"__at_{k}" for k in sums})
+    return out.select(*strata, time, *[F.col(k).cast(kinds[k]).alias(k) if kinds[k] != "bigint" else F.round(k).cast("bigint").alias(k) for k in sums])
 
 
 def cox_score_test(df: DataFrame, keys: Sequence[str], time: str, event: str, x: str, strata: Sequence[str] = ()) -> DataFrame:
