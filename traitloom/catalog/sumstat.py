@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traitloom.catalog.base import query, r6
+from traitloom.catalog.base import ORACLES, query, r6
 from traitloom.catalog.ld import LD_SQL, panel_ld
 from traitloom.catalog.variants import COUNTS_SQL
 from traitloom.fixtures import oracle, view
@@ -13,7 +13,8 @@ from traitloom.operators import genotypes as G
 from traitloom.operators import joins, ld
 from traitloom.operators import sumstats as S
 from traitloom.plans import ldpred
-from traitloom.session import cut
+from traitloom.session import cut, work_path
+from traitloom.sources import writers
 
 LDSC_ROUNDS, LDSC_BLOCKS = 20, 200
 
@@ -242,6 +243,14 @@ def ldpred_auto_check(spark, sf):
     return sizes.join(wrong, "phenotype").select("phenotype", "n_variants", "chains", total.alias("violations"))
 
 
+@query("written_ldpred", ORACLES["model_export"])
+def written_ldpred(spark, sf):
+    """Quality table and score model written together; the model read back."""
+    path = work_path(spark, "ldpred")
+    writers.write_ldpred_outputs(path, {"qc": checked(spark, sf), "model": model_export(spark, sf)})
+    return spark.read.parquet(f"{path}/model")
+
+
 @query("ldpred_auto")
 def ldpred_auto(spark, sf):
     """Score models of every trait: quality filter, LD-score heritability, all chains, kept-chain mean."""

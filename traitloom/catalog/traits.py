@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traitloom.catalog.base import query, r6
+from traitloom.catalog.base import ORACLES, query, r6
 from traitloom.catalog.variants import COUNTS_SQL
 from traitloom.fixtures import oracle, view
 from traitloom.functions import expressions as E
 from traitloom.operators import aggregates as A
 from traitloom.operators import genotypes as G
 from traitloom.operators import joins, ordering, regression, scoring, training
-from traitloom.plans import evaluation, phenotypes
+from traitloom.plans import evaluation, phenotypes, qtl
+from traitloom.session import cut, work_path
+from traitloom.sources import readers, writers
 
 PC = phenotypes.COMPONENTS
 
@@ -529,8 +531,6 @@ FROM filled f JOIN avgd a ON a.iid = f.iid AND a.phenotype = 'click' GROUP BY f.
     ),
 )
 def design_from_dosages(spark, sf):
-    from traitloom.plans import qtl
-
     variants = view(spark, sf, "fx_pvar")
     hits = qtl.select_trans_qtls(view(spark, sf, "fx_gwas"), variants, 0.001, ["row_no", "beta", "beta_se", "n_eff"])
     cells = joins.effect_dosage(view(spark, sf, "fx_dosage"), hits, variants)
@@ -541,6 +541,62 @@ def design_from_dosages(spark, sf):
     return rows.select("phenotype", "iid", F.size("x").cast("bigint").alias("n_vars"), r6(total, 4).alias("x_sum"), r6("y", 4).alias("y"))
 
 
+@query(
+    "dosage_export_all",
+    oracle(
+        f"""{_EFFECTS}
+SELECT c.phenotype, d.iid, c.rsid || '_' || c.row_id AS rsid, round(CASE WHEN counts_alt THEN alt_dosage ELSE 2 - alt_dosage END, 6) + 0.0e0 AS dosage
+FROM chosen c JOIN fx_dosage d USING (row_id)""",
+        "fx_pvar", "fx_gwas", "fx_dosage",
+    ),
+)
+def dosage_export_all(spark, sf):
+    """Effect dosages of every trait and sample, written as one table and read back."""
+    variants = view(spark, sf, "fx_pvar")
+    hits = qtl.select_trans_qtls(view(spark, sf, "fx_gwas"), variants, 0.001, ["row_no", "beta", "beta_se", "n_eff"])
+    cells = joins.effect_dosage(view(spark, sf, "fx_dosage"), hits, variants)
+    path = work_path(spark, "dosages")
+    writers.write_dosages(cells.select("phenotype", "iid", F.concat_ws("_", "rsid", "row_id").alias("rsid"), "dosage"), path)
+    return readers.read_dosages(spark, path).withColumn("dosage", r6("dosage"))
+
+
+@query(
+    "written_metrics",
+    ORACLES["cv_grs_metrics"],
+)
+def written_metrics(spark, sf):
+    """Held-out fit written by fold, one append each, and read back."""
+    path = work_path(spark, "metrics")
+    fit = cut(cv_grs_metrics(spark, sf))
+    for fold in range(1, training.FOLDS + 1):
+        writers.write_metrics(fit.where(F.col("fold") == fold), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "written_models",
+    oracle(
+        f"""{_DESIGN}, {_WEIGHTS}
+SELECT f.phenotype, iid, round(list_sum(list_transform(range(1, 65), lambda i: x[i] * w[i])) + 0.25, 6) + 0.0e0 AS yhat FROM folded f JOIN weights USING (phenotype)""",
+        "fx_trait", "fx_design",
+    ),
+)
+def written_models(spark, sf):
+    """Models written, read back and applied."""
+    path = work_path(spark, "models")
+    writers.write_models(weights(spark, sf).select("phenotype", F.col("w").alias("coef"), F.lit(0.25).alias("intercept")), path)
+    out = scoring.predict(spark.read.parquet(path), design(spark, sf), ["phenotype"])
+    return out.select("phenotype", "iid", r6("yhat").alias("yhat"))
+
+
+@query("written_phenotypes", ORACLES["trait_average"])
+def written_phenotypes(spark, sf):
+    path = work_path(spark, "phenotypes")
+    writers.write_phenotypes(averaged(spark, sf), path)
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return rows.select("phenotype", F.col("iid").cast("bigint").alias("iid"), r6(F.col("value").cast("double")).alias("value"))
+
+
 def _every_trait(cells, values):
     """The same trait values for every phenotype that has dosages of a sample."""
     return cells.select("phenotype", "iid").distinct().join(values, "iid")

@@ -155,6 +155,14 @@ def read_dosage_wide(spark: SparkSession, path) -> DataFrame:
     return to_long(wide, ["iid"], "rsid", "dosage")
 
 
+def read_dosages(spark: SparkSession, path: str) -> DataFrame:
+    """Dosages of all traits, as ``write_dosages`` left them, as phenotype, iid, rsid, dosage."""
+    root = path.rstrip("/")
+    rows = spark.read.parquet(f"{root}/dosages").join(spark.read.parquet(f"{root}/variants"), "phenotype")
+    cells = F.arrays_zip(F.col("rsids").alias("rsid"), F.col("dosages").alias("dosage"))
+    return rows.select("phenotype", "iid", F.inline(cells))
+
+
 def read_with_preamble(spark: SparkSession, path, skip: int = 31, sep: str = " ") -> DataFrame:
     """Delimited files whose header follows ``skip`` other lines in each; all columns are text.
 

@@ -44,6 +44,21 @@ def write_dosage_wide(df: DataFrame, path: str, names: Sequence[str] | None = No
     wide.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip").csv(path)
 
 
+def write_dosages(cells: DataFrame, path: str) -> None:
+    """Dosages of all traits in one table: phenotype, iid and ``dosages``, an array in the order of the trait's
+    variants, beside a table ``variants`` (phenotype, rsids). Cells (phenotype, iid, rsid, dosage)
+    that are absent are NULL in the array. Rows are as wide as a trait has variants."""
+    root = path.rstrip("/")
+    names = cells.select("phenotype", "rsid").distinct().groupBy("phenotype").agg(F.sort_array(F.collect_list("rsid")).alias("rsids"))
+    names.write.mode("overwrite").parquet(f"{root}/variants")
+    names = cells.sparkSession.read.parquet(f"{root}/variants")
+    rows = cells.groupBy("phenotype", "iid").agg(F.map_from_entries(F.collect_list(F.struct("rsid", "dosage"))).alias("m"))
+    rows = rows.join(names, "phenotype").select(
+        "phenotype", "iid", F.transform("rsids", lambda r: F.try_element_at("m", r)).alias("dosages")
+    )
+    rows.write.mode("overwrite").parquet(f"{root}/dosages")
+
+
 def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
