@@ -81,9 +81,23 @@ rows AS (SELECT phenotype, chisq + 1e-8 AS y, greatest(ld_score, 1) AS w_ld, ld_
   FROM lin WINDOW p AS (PARTITION BY phenotype))"""
 
 
-def _ldsc_sql(rounds: int, digits: int, floor: bool = False) -> str:
+# Here every trait uses the LD scores of its own passing variants.
+_OWN_SCORES = """
+pass AS (SELECT phenotype, row_id FROM qc WHERE NOT fail_qc),
+inner_ld AS (SELECT a.phenotype, ld.i, ld.j, ld.r FROM ld JOIN pass a ON a.row_id = ld.i JOIN pass b ON b.row_id = ld.j AND a.phenotype = b.phenotype),
+scores AS (SELECT phenotype, row_id, sum(r2) AS ld_score FROM (
+  SELECT phenotype, i AS row_id, r * r AS r2 FROM inner_ld UNION ALL SELECT phenotype, j, r * r FROM inner_ld UNION ALL SELECT phenotype, row_id, 1 FROM pass) GROUP BY ALL)"""
+
+
+def _own_input() -> str:
+    head, tail = _LDSC_IN.split("pass AS (", 1)
+    lin = "lin AS (" + tail.split("lin AS (", 1)[1].replace("JOIN scores USING (row_id)", "JOIN scores USING (phenotype, row_id)")
+    return f"{head.rstrip()}{_OWN_SCORES},\n{lin}"
+
+
+def _ldsc_sql(rounds: int, digits: int, floor: bool = False, source: str = "") -> str:
     h2 = "CASE WHEN any_value(h2) < 0 THEN 0.001e0 ELSE any_value(h2) END" if floor else "any_value(h2)"
-    parts = [_LDSC_IN, "a0 AS (SELECT DISTINCT phenotype, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM rows)"]
+    parts = [source or _LDSC_IN, "a0 AS (SELECT DISTINCT phenotype, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM rows)"]
     for k in range(rounds):
         parts.append(f"""a{k + 1} AS MATERIALIZED (SELECT phenotype, (swy - b * swx) / sw AS a, b FROM (
   SELECT *, (sw * swxy - swx * swy) / (sw * swxx - swx * swx) AS b FROM (
@@ -134,6 +148,27 @@ def ldsc_converged(spark, sf):
     return out.select("phenotype", *[r6(c, 4).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
 
 
+@query("ld_score_by_trait", oracle(f"{_QC}, {LD_SQL},{_OWN_SCORES} SELECT phenotype, row_id, round(ld_score, 6) + 0.0e0 AS ld_score FROM scores", "fx_pvar", "fx_gwas", "fx_dosage"))
+def ld_score_by_trait(spark, sf):
+    out = ld.ld_score(panel_ld(spark, sf), S.passing(checked(spark, sf)), ["phenotype"])
+    return out.select("phenotype", "row_id", r6("ld_score").alias("ld_score"))
+
+
+def heritability(spark, sf):
+    """Start of the chains: quality filter, LD scores of each trait's passing set, regression."""
+    passed = cut(S.passing(checked(spark, sf)))
+    scores = ld.ld_score(panel_ld(spark, sf), passed, ["phenotype"])
+    chisq = F.pow(F.col("beta") / F.col("beta_se"), F.lit(2.0))
+    rows = passed.join(scores, ["phenotype", "row_id"]).select("phenotype", "row_id", "n_eff", chisq.alias("chisq"), "ld_score")
+    return passed, S.initial_h2(S.ldsc(rows))
+
+
+@query("ldsc_by_trait", oracle(_ldsc_sql(LDSC_ROUNDS, 4, floor=True, source=_own_input()), "fx_pvar", "fx_gwas", "fx_dosage"))
+def ldsc_by_trait(spark, sf):
+    _, out = heritability(spark, sf)
+    return out.select("phenotype", *[r6(c, 4).alias(c) for c in ("intercept", "intercept_se", "h2", "h2_se")], "n_variants")
+
+
 @query(
     "log10_pvalue",
     oracle("SELECT phenotype, row_no, round(10.0e0 ** log10(pval), 9) + 0.0e0 AS pval FROM fx_gwas WHERE log10(pval) < -2", "fx_pvar", "fx_gwas"),
@@ -254,7 +289,7 @@ def written_ldpred(spark, sf):
 @query("ldpred_auto")
 def ldpred_auto(spark, sf):
     """Score models of every trait: quality filter, LD-score heritability, all chains, kept-chain mean."""
-    passed = cut(S.passing(checked(spark, sf)))
-    h2 = cut(S.initial_h2(S.ldsc(ldsc_input(spark, sf))).select("phenotype", F.coalesce(F.nanvl("h2", F.lit(None)), F.lit(0.001)).alias("h2")))
+    passed, estimates = heritability(spark, sf)
+    h2 = cut(estimates.select("phenotype", F.coalesce(F.nanvl("h2", F.lit(None)), F.lit(0.001)).alias("h2")))
     effects, _ = ldpred.ldpred_auto(passed, panel_ld(spark, sf), h2)
     return ldpred.auto_model(passed, effects)

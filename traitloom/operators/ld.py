@@ -189,15 +189,17 @@ def ld_prune(pairs: DataFrame, variants: DataFrame, max_r2: float, max_rounds: i
     return variants.join(gone, "row_id", "left_anti")
 
 
-def ld_score(ld: DataFrame, passing: DataFrame) -> DataFrame:
-    """Sum of r2 with all passing variants, itself included, per passing variant."""
-    ids = cut(passing.select("row_id").distinct())
-    inner = ld.join(ids.withColumnRenamed("row_id", "i"), "i", "left_semi").join(
-        ids.withColumnRenamed("row_id", "j"), "j", "left_semi"
-    )
-    both = inner.select(F.explode(F.array("i", "j")).alias("row_id"), (F.col("r") * F.col("r")).alias("r2"))
-    own = ids.select("row_id", F.lit(1.0).alias("r2"))
-    return both.unionByName(own).groupBy("row_id").agg(F.sum("r2").alias("ld_score"))
+def ld_score(ld: DataFrame, passing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sum of r2 with all passing variants, itself included, per passing variant.
+
+    With ``by`` (say phenotype) each group has a passing set of its own in ``passing``.
+    """
+    by = list(by)
+    ids = cut(passing.select(*by, "row_id").distinct())
+    inner = ld.join(ids.withColumnRenamed("row_id", "i"), "i").join(ids.withColumnRenamed("row_id", "j"), [*by, "j"])
+    both = inner.select(*by, F.explode(F.array("i", "j")).alias("row_id"), (F.col("r") * F.col("r")).alias("r2"))
+    own = ids.select(*by, "row_id", F.lit(1.0).alias("r2"))
+    return both.unionByName(own).groupBy(*by, "row_id").agg(F.sum("r2").alias("ld_score"))
 
 
 def interpolate_map(variants: DataFrame, gmap: DataFrame, bin_bp: int = 1_000_000) -> DataFrame:
