@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from traitloom.llm.common import batch_pieces, cut, drop_tables, keep_matching, shared, text_bytes, text_or_empty, widened
 
 MAX_BITS = 3
+SECOND_BITS = 16
 SHARD = 2048
 LEAF = 512
 SAMPLE = 20_000
@@ -189,8 +190,14 @@ class Forest:
         self.root[top] = top[0]
 
 
-def link_shard(prints: np.ndarray, own: np.ndarray, part: int, bits: int = MAX_BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (row, root) of the links between own fingerprints and all others here."""
+def link_shard(
+    prints: np.ndarray, own: np.ndarray, part: int, bits: int = MAX_BITS, leaf: int = LEAF,
+    seconds: np.ndarray | None = None, second_bits: int = SECOND_BITS,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (row, root) of the links between own fingerprints and all others here.
+
+    With ``seconds``, another fingerprint per row, a link also needs those within ``second_bits``.
+    """
     parts = parts_for(bits)
     codes, forest, reach = part_of(prints, part, parts), Forest(len(prints)), bits // parts
     stack = [(np.flatnonzero(own), np.arange(len(prints)))]
@@ -211,6 +218,9 @@ def link_shard(prints: np.ndarray, own: np.ndarray, part: int, bits: int = MAX_B
         for k in range(0, len(asked), step):
             some = asked[k : k + step]
             hit = np.bitwise_count(prints[some][:, None] ^ values[None, :]) <= bits
+            if seconds is not None:
+                i, j = np.nonzero(hit)
+                hit[i, j] = np.bitwise_count(seconds[some[i]] ^ seconds[mine[j]]) <= second_bits
             full = hit.sum(axis=1) > 1  # one hit may be the row itself
             lone = np.flatnonzero(~full & hit.any(axis=1))
             full[lone] = some[lone] != mine[hit[lone].argmax(axis=1)]
@@ -221,38 +231,44 @@ def link_shard(prints: np.ndarray, own: np.ndarray, part: int, bits: int = MAX_B
     return linked, root[linked]
 
 
-def links(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE, bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that keep the components of the graph
-    of all pairs at most ``bits`` (7 or fewer) apart.
+def links(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE, bits: int = MAX_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+    """Links (a, b) that keep the components of the graph of all pairs at most ``bits`` (7 or fewer) apart.
 
-    ``prints`` has one row per fingerprint. A hash sample of at most ``sample`` of them places
-    the tops of the trees; it changes the balance of the shards, not the links.
+    ``prints`` has one row per fingerprint ``fp``, which also names it; or rows (node, fp, second)
+    where nodes link if ``fp`` is within ``bits`` and ``second`` within ``second_bits``. A hash
+    sample of at most ``sample`` rows places the tops of the trees; it changes the balance of the
+    shards, not the links.
     """
     parts = parts_for(bits)
-    total = prints.count()
-    seen = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    paired = "second" in prints.columns
+    rows = prints.select("fp", *(["node", "second"] if paired else []))
+    total = rows.count()
+    seen = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     picked = np.array([r["fp"] for r in seen], np.int64).view(np.uint64)
     # At most sample / 8 leaves, so the trees sent to the tasks have a fixed bound; a shard
     # that holds more than ``shard`` rows divides itself further.
     leaves = max(1, min(total // shard, sample // 8))
     tops = [Shards(part_of(picked, part, parts), leaves, bits // parts) for part in range(parts)]
     trees = shared(prints.sparkSession, tops)
+    names = ["shard", "own", *rows.columns]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(0).to_numpy()
+            held = batch.column(0).to_numpy().view(np.uint64)
             for part, tree in enumerate(trees.value):
-                for leaf, rows, own in tree.route(part_of(held.view(np.uint64), part, parts)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), parts * leaf + part, np.int32)), pa.array(held[rows]), pa.array(own)], ["shard", "fp", "own"]
-                    )
+                for leaf, at, own in tree.route(part_of(held, part, parts)):
+                    place = pa.array(np.full(len(at), parts * leaf + part, np.int32))
+                    yield pa.RecordBatch.from_arrays([place, pa.array(own), *batch.take(pa.array(at)).columns], names)
 
     def search(table: pa.Table) -> pa.Table:
-        held = table["fp"].to_numpy()
-        row, root = link_shard(held.view(np.uint64), table["own"].to_numpy(), table["shard"][0].as_py() % parts, bits)
-        return pa.table({"a": held[row], "b": held[root]})
-
-    dealt = prints.select("fp").mapInArrow(deal, "shard int, fp long, own boolean")
+        held, own = table["fp"].to_numpy().view(np.uint64), table["own"].to_numpy()
+        second = table["second"].to_numpy().view(np.uint64) if paired else None
+        row, root = link_shard(held, own, table["shard"][0].as_py() % parts, bits, LEAF, second, second_bits)
+        name = table["node" if paired else "fp"].to_numpy()
+        return pa.table({"a": name[row], "b": name[root]})
+
+    more = ", node long, second long" if paired else ""
+    dealt = rows.mapInArrow(deal, "shard int, own boolean, fp long" + more)
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
@@ -313,23 +329,19 @@ def drop_near_copies(
 ) -> DataFrame:
     """The documents with one of each component left, the one with the smallest id; all columns.
 
-    Documents link if any of their ``prints`` independent fingerprints differ in at most ``bits``.
-    A text takes part as its combination of fingerprints, so equal ones search once.
+    Documents link if one of their ``prints`` (two or more) independent fingerprints differs in at most ``bits``
+    and the next one in at most ``SECOND_BITS``, which chance alone does as rarely as three bits in
+    one. A text takes part as its combination of fingerprints, so equal ones search once.
     """
-    marked = with_fingerprint(docs, text_col, "__fps", shingle, max(2, prints)).withColumn("__fps", F.slice("__fps", 1, prints))
+    marked = with_fingerprint(docs, text_col, "__fps", shingle, prints)
     marked = marked.withColumn("__node", F.xxhash64("__fps"))
     ident = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull()}
     seen = cut(marked.select("__node", F.col("__fps").alias("fps"), F.col(id_col).cast("long").alias("doc_id")))
     nodes = cut(seen.groupBy(F.col("__node").alias("node")).agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")))
     edges = None
     for k in range(prints):
-        own = nodes.select("node", F.get("fps", F.lit(k)).alias("fp"))
-        first = cut(own.groupBy("fp").agg(F.min("node").alias("first")))
-        same = own.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        near = links(first.select("fp"), bits=bits)
-        near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("a_node")), "a")
-        near = near.join(first.select(F.col("fp").alias("b"), F.col("first").alias("b_node")), "b")
-        found = cut(same.union(near.select("a_node", "b_node")).where("a <> b"))
+        one = nodes.select("node", F.get("fps", F.lit(k)).alias("fp"), F.get("fps", F.lit((k + 1) % prints)).alias("second"))
+        found = cut(links(one, bits=bits))
         edges = found if edges is None else edges.union(found)
     roots = components(edges)
     placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
