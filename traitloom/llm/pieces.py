@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import batch_pieces, shared, text_bytes, text_or_empty, widened
-from traitloom.llm.words import WordTable
+from traitloom.llm.words import WordTable, gather
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -99,7 +99,7 @@ class Pieces:
             self.bytes_of[i] = piece
         for b, i in enumerate(self.byte_ids.tolist()):
             self.bytes_of[i] = bytes([b])
-        self.table = WordTable(self._encode, bits=20)
+        self.table = WordTable(self._encode)
         self._ready = True
 
     def __getstate__(self):
@@ -107,20 +107,26 @@ class Pieces:
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Best segmentation of each chunk; chunks of like length go together."""
-        order = np.argsort([len(c) for c in chunks], kind="stable")
-        sizes, parts = np.zeros(len(chunks), np.int64), [np.zeros(0, np.int32)] * len(chunks)
-        k = 0
-        while k < len(order):
-            stop = k + 1
-            while stop < len(order) and (stop - k + 1) * len(chunks[order[stop]]) <= STEP_BYTES:
-                stop += 1
-            group = order[k:stop]
-            size, flat = self._viterbi([chunks[i] for i in group])
-            for i, ids in zip(group.tolist(), np.split(flat, np.cumsum(size)[:-1])):
-                parts[i] = ids
-            sizes[group] = size
+        length = np.array([len(c) for c in chunks])
+        order = np.argsort(length, kind="stable")
+        ordered = [chunks[i] for i in order.tolist()]
+        widths = length[order]
+        sizes, parts, k = [], [], 0
+        while k < len(ordered):
+            # As many as fit when padded to the longest of them, at least one.
+            room = np.arange(1, len(ordered) - k + 1) * widths[k:] <= STEP_BYTES
+            stop = k + max(1, int(np.argmin(room)) if not room.all() else len(room))
+            size, flat = self._viterbi(ordered[k:stop])
+            sizes.append(size)
+            parts.append(flat)
             k = stop
-        return sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        if not sizes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        begin = np.cumsum(size) - size
+        return size[back], gather(begin[back], size[back], flat)
 
     def _viterbi(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """One pass over the bytes of all chunks in step; chunks come in order of length."""
