@@ -250,22 +250,24 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", name: str = "d
 
 
 def encoded_digests(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, n_bytes (byte pieces), ids_crc32 (little-endian 32-bit ids), round_trip."""
+    """doc_id, n_ids, n_bytes (byte pieces), ids_crc32 (little-endian 32-bit ids), round_trip.
+
+    Encoding and decoding share a worker, so a task holds the automaton once.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    both = decode(encode(rows, pieces), pieces)
+    model = shared(docs.sparkSession, pieces)
     low, high = int(pieces.byte_ids.min()), int(pieces.byte_ids.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"n_ids": [], "n_bytes": [], "ids_crc32": []}
-            for x in batch.column(1):
-                ids = x.values.to_numpy(zero_copy_only=False)
-                out["n_ids"].append(len(ids))
+        for batch in batch_pieces(batches, "text"):
+            count, flat = model.value.encode(batch.column(1))
+            out: dict[str, list] = {"n_bytes": [], "ids_crc32": [], "round_trip": []}
+            for text, ids in zip(batch.column(1).to_pylist(), np.split(flat, np.cumsum(count)[:-1])):
                 out["n_bytes"].append(int(((ids >= low) & (ids <= high)).sum()))
-                out["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
-            arrays = [batch.column(0), *(pa.array(v, pa.int64()) for v in out.values()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *out, "round_trip"])
+                out["ids_crc32"].append(zlib.crc32(ids.astype("<u4")))
+                out["round_trip"].append(model.value.decode(ids.tolist()) == text)
+            arrays = [batch.column(0), pa.array(count), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "ids_crc32")), pa.array(out["round_trip"], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_ids", "n_bytes", "ids_crc32", "round_trip"])
 
-    flat = both.select("doc_id", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
     kind = dict(docs.dtypes)[id_col]
-    return flat.mapInArrow(run, f"doc_id {kind}, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean")
