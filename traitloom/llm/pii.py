@@ -3,18 +3,22 @@
 Four base kinds are found by pattern and checked (parts, digits, Luhn); these always count.
 Further generators propose spans that may overlap: bare telephone shapes, spelt-out
 addresses, account and national numbers, long numbers. Boosted trees judge these by format
-and context. They are fitted on candidates from a bounded sample of documents, where
-the label is whether the span belongs to a checked base span, and the score has to pass a
-threshold set from the scores of the unlabelled side. The model becomes one column expression.
+and context. They are fitted on fixed templated spans, personal and not, and on those candidates
+from a bounded sample of documents that a check decides (Luhn, ranges, lengths, IBAN digits).
+A candidate that no check decides has no label. The bar is set on templated spans kept out of
+training, so it does not depend on how much personal data a corpus holds. National and account
+numbers also have to pass the check of their kind. The model becomes one column expression.
 """
 
 from __future__ import annotations
 
+import json
+import random
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import cut, text_or_empty
@@ -25,6 +29,7 @@ KINDS = BASE + EXTRA
 SAMPLE_DOCS = 40_000
 TREES, DEPTH = 12, 3
 FLOOR = 0.5
+FORMS = 40  # filled-in texts of each template
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Possessive quantifiers and the look-behind keep long runs linear; a run that follows the
 # end of the match before may still begin one. Neither changes what matches.
@@ -50,9 +55,31 @@ _ACCOUNT = r"(?i)(?:card|visa|account|iban|ssn|passport|social|tax|bank|born|bir
 _TECHNICAL = r"(?i)(?:version|release|isbn|issn|doi|page|vol|figure|section|license|licence|key|token|hash|=|0x)"
 FEATURES = (
     "size", "digits", "letters", "upper", "signs", "groups", "distinct", "zeros", "left_word", "right_word",
-    "left_sign", "contact", "account", "technical", "mail_sign", "plus", "leading",
+    "left_sign", "contact", "account", "technical", "mail_sign", "plus", "leading", "kind",
 )
 
+# Texts around a span, by the kind of span that is personal there ...
+_ANY = ("{}", "{} or by post", "| {} |", "Jane Roe, {}, Boston", "the record of Mr Weber: {}", "number: {}.", "we wrote down {} that day")
+PERSONAL = {
+    "local_phone": (*_ANY, "please call {} today", "phone {}", "Tel. {}", "reach me at {} in the evening", "fax: {}", "my mobile is {}"),
+    "spelt_email": (*_ANY, "write to {} for more", "mail {}", "contact: {}", "reach the editor at {}"),
+    "account": (*_ANY, "IBAN {}", "IBAN: {}", "pay into account {} by May", "bank details {}"),
+    "national": (*_ANY, "SSN {}", "SSN: {}", "social security number {}", "her tax number is {}"),
+    "number": (
+        "please call {} today", "phone {}", "Tel. {}", "mobile: {}", "account {} at the bank", "account no. {}", "passport {}", "tax number {}",
+        "born on {}", "date of birth: born {}", "WhatsApp {}",
+    ),
+}
+# ... and by the kind of span that is not.
+OTHER = {
+    "number": (
+        "version {}", "release {} is out", "ISBN {}", "ISSN {}", "doi {}", "page {}", "vol {}", "key {}", "of key {}", "token {}", "hash=ab{}", "x={}",
+        "hash {}", "0x{}", "in total {} units", "on {} it rained", "{} people live there", "a score of {} and more", "figure {}", "section {}", "see {}.", "{}",
+    ),
+    "local_phone": ("version {}", "release {}", "ISBN {}", "key {}", "token={}", "section {}"),
+    "national": ("version {}", "release {}", "ISBN {}", "key {}", "token={}", "section {}"),
+}
+
 
 def _matches(text: Column, kind: str) -> Column:
     """array<struct<start, end, value>> of the leftmost matches that do not overlap, in code points."""
@@ -83,6 +110,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(places, weigh), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def iban(value: Column) -> Column:
+    """Whether the check digits of an account number (15 to 34 letters and digits, blanks apart) agree."""
+    plain = F.regexp_replace(value, r"\x20", "")
+    signs = F.split(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4)), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.pmod(F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.length(plain).between(15, 34) & (F.aggregate(signs, F.lit(0), step) == 1)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -100,6 +138,21 @@ def _checked(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _refuted(span: Column) -> Column:
+    """Whether a candidate fails the check of its kind: ranges of national numbers, check digits of accounts."""
+    value = span["value"]
+    national = value.rlike("^(?:000|666|9)|-00-|-0000$")
+    return F.when(span["kind_no"] == KINDS.index("national"), national).when(span["kind_no"] == KINDS.index("account"), ~iban(value)).otherwise(F.lit(False))
+
+
+def _trimmed(span: Column) -> Column:
+    """An account number without the capital words behind it: the longest run of its groups that checks."""
+    groups = F.split(span["value"], r"\x20")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    value = F.coalesce(F.get(F.filter(runs, iban), F.lit(0)), span["value"])
+    return F.struct(span["start"].alias("start"), (span["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+
 def _ordered(spans: list[tuple[int, Column]]) -> Column:
     """One array of struct<kind_no, start, end, value>, by kind, then start."""
     def numbered(k: int):
@@ -116,16 +169,23 @@ def base_spans(text: Column) -> Column:
     return _ordered([(k, F.filter(_matches(text, kind), passing(kind))) for k, kind in enumerate(BASE)])
 
 
+def failed_spans(text: Column) -> Column:
+    """Matches of the base kinds with the size of one that fail the check: no address, Luhn or length."""
+    def failing(kind: str):
+        return lambda x: ~_checked(kind, x["value"]) & (F.length(_digits(x["value"])).between(13, 19) if kind == "card" else F.lit(True))
+
+    return _ordered([(k, F.filter(_matches(text, kind), failing(kind))) for k, kind in enumerate(BASE) if kind != "email"])
+
+
 def candidate_spans(text: Column) -> Column:
     """Spans of the further generators; they may overlap one another and the base spans."""
-    return _ordered([(len(BASE) + k, _matches(text, kind)) for k, kind in enumerate(EXTRA)])
+    found = {kind: _matches(text, kind) for kind in EXTRA}
+    found["account"] = F.transform(found["account"], _trimmed)
+    return _ordered([(len(BASE) + k, found[kind]) for k, kind in enumerate(EXTRA)])
 
 
 def features(text: Column, span: Column) -> list[Column]:
-    """Format and context of a span as doubles, in the order of ``FEATURES``.
-
-    The kind is no feature, so what the checked spans teach carries over to the other kinds.
-    """
+    """Format, context and kind of a span as doubles, in the order of ``FEATURES``."""
     value, begin, end = span["value"], span["start"], span["end"]
     size = F.length(value)
 
@@ -142,6 +202,7 @@ def features(text: Column, span: Column) -> list[Column]:
         left.rlike("[A-Za-z0-9_]"), right.rlike("[A-Za-z0-9_]"), left.rlike(r"[=:\"'/#]"),
         before.rlike(_CONTACT), before.rlike(_ACCOUNT), before.rlike(_TECHNICAL),
         value.contains("@"), left.eqNullSafe("+") | value.startswith("+"), value.rlike("^[0-9]{13}"),
+        span["kind_no"],
     ]
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns]
 
@@ -178,40 +239,115 @@ def _read_tree(node) -> float | tuple:
     return split.featureIndex(), float(split.threshold()), _read_tree(node.leftChild()), _read_tree(node.rightChild())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Trees fitted on the candidates of at most about ``sample_docs`` documents, chosen by a hash of the id.
-
-    Label 1: a base span that passed its check, or a candidate that overlaps one. Label 0: the
-    other candidates. The threshold is the larger of one half and the 99th percentile
-    of the scores of label 0. None if one of the labels does not occur.
+def _account(rng: random.Random) -> str:
+    """An account number with right check digits, in groups of four or in one."""
+    country, size = rng.choice([("DE", 22), ("GB", 22), ("FR", 27), ("ES", 24), ("NL", 18), ("BE", 16)])
+    bank = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) if country in ("GB", "NL") else ""
+    rest = bank + "".join(rng.choice("0123456789") for _ in range(size - 4 - len(bank)))
+    whole = f"{country}{98 - int(''.join(str(int(c, 36)) for c in f'{rest}{country}00')) % 97:02d}{rest}"
+    return " ".join(whole[i : i + 4] for i in range(0, size, 4)) if rng.random() < 0.5 else whole
+
+
+def _value(rng: random.Random, kind: str, personal: bool) -> str:
+    def n(least: int, most: int) -> int:
+        return rng.randrange(least, most)
+
+    if kind == "local_phone":
+        area, rest = n(200, 1000), f"{n(200, 1000)}{rng.choice('-.')}{n(0, 10000):04d}"
+        return rng.choice([f"({area}) {rest}", f"{area}-{rest}", f"{area}.{rest}", f"{area} {rest}"])
+    if kind == "national":
+        return f"{rng.choice([n(1, 666), n(667, 900)]):03d}-{n(1, 100):02d}-{n(1, 10000):04d}"
+    if kind == "account":
+        return _account(rng)
+    if kind == "spelt_email":
+        name = rng.choice(["jane", "j.roe", "info", "max_weber", "anna-l", "editor7", "desk42"])
+        host, end = rng.choice(["example", "mail", "uni-ulm", "host3", "paper"]), rng.choice(["org", "com", "de", "co.uk"])
+        return rng.choice([f"{name} [at] {host} [dot] {end}", f"{name}(at){host}.{end}", f"{name} (at) {host} (dot) {end}", f"{name}[AT]{host}[DOT]{end}"])
+    if personal:
+        return rng.choice([
+            f"0{n(20, 999)} {n(100000, 10**7)}", f"0{n(10**8, 10**10)}", f"0{n(150, 180)} {n(100, 1000)} {n(1000, 10000)}", f"{n(10**7, 10**10)}",
+            f"{n(1, 29):02d}.{n(1, 13):02d}.{n(1930, 2010)}", f"{n(1930, 2010)}-{n(1, 13):02d}-{n(1, 29):02d}",
+        ])
+    return rng.choice([
+        f"{n(10**5, 10**8)}", f"{n(10**8, 10**16)}", f"{n(10**15, 10**16)}", f"978-3-{n(10, 99)}-{n(10**5, 10**6)}-{n(0, 10)}", f"{n(1000, 10**4)}-{n(1000, 10**4)}",
+        f"10.{n(1000, 10**4)}/{n(100, 10**6)}", f"{n(1990, 2030)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(1, 1000)} {n(100, 1000)} {n(100, 1000)}",
+        f"{n(1, 10)}.{n(10**5, 10**9)}", f"{n(1, 20)}.{n(0, 60)}.{n(100, 10**5)}", f"{n(1900, 2000)}-{n(2000, 2030)}",
+    ])
+
+
+def templated(spark: SparkSession, forms: int = FORMS, seed: int = 11) -> DataFrame:
+    """Rows (text, begin, end, label, held): fixed texts around spans that are personal (1) or not (0).
+
+    The same for every corpus. One in four is ``held`` back from training.
     """
-    total = docs.count()
-    share = min(1.0, sample_docs / max(1, total))
+    rng, rows = random.Random(seed), []
+    for label, table in ((1.0, PERSONAL), (0.0, OTHER)):
+        for kind, frames in table.items():
+            for frame in frames:
+                for i in range(forms):
+                    value = _value(rng, kind, label > 0)
+                    at = frame.index("{}")
+                    rows.append({"text": frame.replace("{}", value), "begin": at, "end": at + len(value), "label": label, "held": i % 4 == 3})
+    kind_of = "array<struct<text: string, begin: int, end: int, label: double, held: boolean>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind_of)).alias("r")).select("r.*")
+
+
+def _sampled(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
+    """text, span, label of the candidates that a check decides, in about ``sample_docs`` documents chosen by a hash of the id."""
+    share = min(1.0, sample_docs / max(1, docs.count()))
     chance = F.pmod(F.xxhash64(F.lit("pii"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = docs.where(chance < share).select(text_or_empty(text_col).alias("text"))
-    rows = rows.select("text", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more"))
-    labelled = F.concat(
-        F.transform("base", lambda s: F.struct(s.alias("span"), F.lit(1.0).alias("label"))),
-        F.transform("more", lambda s: F.struct(s.alias("span"), _overlaps(s, F.col("base")).cast("double").alias("label"))),
-    )
+    rows = rows.select("text", base_spans(F.col("text")).alias("good"), failed_spans(F.col("text")).alias("bad"), candidate_spans(F.col("text")).alias("more"))
+
+    def label(s: Column) -> Column:
+        sure = (s["kind_no"] == KINDS.index("account")) & ~_refuted(s)
+        return F.when(sure | _overlaps(s, F.col("good")), 1.0).when(_refuted(s) | _overlaps(s, F.col("bad")), 0.0)
+
+    labelled = F.transform("more", lambda s: F.struct(s.alias("span"), label(s).alias("label")))
     rows = rows.select("text", F.explode(labelled).alias("one")).select("text", "one.span", "one.label")
-    table = cut(rows.select("label", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("text"), F.col("span")))]))
-    if table.select("label").distinct().count() < 2:
-        return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7).fit(vectors)
+    return rows.where(F.col("label").isNotNull())
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Trees fitted on templated spans and on the decided candidates of at most about ``sample_docs`` documents.
+
+    Label 1: a candidate around a personal templated span, over a base span that passed its check, or
+    an account with right check digits. Label 0: a candidate around another templated span, over a
+    match that failed its check, or out of range. The others have no label and no say. Documents weigh
+    as much as the templates at most, and need not have either label. The bar, one half at least, is
+    where held-back templated spans are told apart best.
+    """
+    made = templated(docs.sparkSession).withColumn("span", F.explode(candidate_spans(F.col("text"))))
+    made = made.where((F.col("span.start") <= F.col("begin")) & (F.col("span.end") >= F.col("end"))).where(~_refuted(F.col("span")))
+    made = made.select("text", "span", "label", "held", F.lit(True).alias("made"))
+    seen = _sampled(docs, id_col, text_col, sample_docs).select("text", "span", "label", F.lit(False).alias("held"), F.lit(False).alias("made"))
+    named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("text"), F.col("span")))]
+    table = cut(made.unionByName(seen).select("label", "held", "made", *named))
+    sizes = {r["made"]: r["count"] for r in table.where("not held").groupBy("made").count().collect()}
+    weight = min(1.0, sizes[True] / sizes.get(False, sizes[True]))
+    train = table.where("not held").withColumn("weight", F.when(F.col("made"), 1.0).otherwise(weight))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7, weightCol="weight").fit(vectors)
     model = Model([_read_tree(t._java_obj.rootNode()) for t in fitted.trees], list(fitted.treeWeights), FLOOR)
-    scored = table.where("label = 0").select(model.score([F.col(n) for n in FEATURES]).alias("s"))
-    bar = scored.agg(F.percentile("s", F.lit(0.99)).alias("q")).first()["q"]
-    model.threshold = max(FLOOR, float(bar))
+    # Scores to a thousandth, so what comes back has a fixed bound.
+    scored = table.where("held").select("label", F.floor(model.score([F.col(n) for n in FEATURES]) * 1000).alias("s"))
+    counts = scored.groupBy("s").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros")).collect()
+    ones, zeros = sum(r["ones"] for r in counts), sum(r["zeros"] for r in counts)
+
+    def told_apart(bar: int) -> float:
+        above = [r for r in counts if r["s"] >= bar]
+        return sum(r["ones"] for r in above) / ones - sum(r["zeros"] for r in above) / zeros
+
+    least = int(FLOOR * 1000)
+    model.threshold = max([least, *sorted(int(r["s"]) for r in counts if r["s"] > least)], key=told_apart) / 1000
     return model
 
 
 def find(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All columns with ``pii_spans``: array<struct<kind_no, start, end, value>> in whole texts.
 
-    Base spans first, by kind and start, then the candidates above the threshold that touch no
-    base span. Null and empty text have none. An earlier column of that name goes.
+    Base spans first, by kind and start, then the candidates at or above the threshold that touch no
+    base span and do not fail the check of their kind. Null and empty text have none. An earlier column of that name goes.
     """
     text = text_or_empty(text_col)
     found = docs.drop("pii_spans").withColumn("__base", base_spans(text))
@@ -219,7 +355,7 @@ def find(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
         return found.withColumnRenamed("__base", "pii_spans")
     more = F.filter(
         candidate_spans(text),
-        lambda s: ~_overlaps(s, F.col("__base")) & (model.score(features(text, s)) > model.threshold),
+        lambda s: ~_overlaps(s, F.col("__base")) & ~_refuted(s) & (model.score(features(text, s)) >= model.threshold),
     )
     return found.withColumn("pii_spans", F.concat("__base", more)).drop("__base")
 
