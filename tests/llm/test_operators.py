@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -289,6 +290,23 @@ def test_licences(spark, sf_dir, edge):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas")), grams
 
 
+def test_licences_without_cue_words(spark, sf_dir):
+    """Notices without a cue word are named, also when documents of the sample hold them; every template passes the gate."""
+    notices = {
+        "This software is proprietary and confidential.": "proprietary", "Released under the GPL v3.": "gpl",
+        "Distributed under BSD 3-Clause": "bsd", "Apache-2.0": "apache-2.0",
+    }
+    assert not any(re.search(licenses.CUE[4:-1], n, re.I) for n in notices)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = [(10**6 + i, f"The first part of the tale.\n\n{n}\n\nThe end of the tale of the sea.") for i, n in enumerate(list(notices) * 5)]
+    docs = docs.unionByName(spark.createDataFrame(held, "doc_id long, text string"))
+    model = licenses.fit(docs)
+    got = Counter((r["doc_id"], r["family"]) for r in licenses.scan(docs.where("doc_id >= 1000000"), model).collect())
+    assert got == Counter((10**6 + i, f) for i, f in enumerate(list(notices.values()) * 5))
+    gate = re.compile(licenses._near_gate())
+    assert all(gate.search(t.lower()) for texts in licenses.TEMPLATES.values() for t in texts)
+
+
 # Packing
 
 

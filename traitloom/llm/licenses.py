@@ -6,10 +6,13 @@ grams names a family. It is trained on shortened and thinned forms of the templa
 and, for the class of no licence, on other sentences and on paragraphs of a bounded sample of
 documents. Forms kept out of training set the probability below which a paragraph is
 ``unknown``; a named family also has to share enough two-word grams with one of its templates.
+The classifier sees every paragraph with a cue word or with a two-word gram of any template, so
+none that could be named is left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -36,6 +39,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Distributed under Apache 2.0.",
     ),
     "mit": (
         "Released under the MIT License.",
@@ -50,27 +54,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Distributed under BSD 3-Clause.",
+        "Released under the BSD 2-Clause terms.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under the GPL v3.",
+        "Distributed under the GPLv2 or later.",
+        "Distributed under the GPLv3.",
     ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "Released under the LGPL v2.1.",
+        "Distributed under the LGPLv3.",
     ),
     "agpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "Released under the AGPL v3.",
+        "Distributed under the AGPLv3.",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Distributed under MPL 2.0.",
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -167,6 +181,31 @@ def _forms(spark: SparkSession) -> DataFrame:
     return rows.select("family", "form", words.alias("words"))
 
 
+def _near_gate() -> str:
+    """Pattern over lower-case text that every text with a two-word gram of a template passes."""
+    nexts: dict[str, set[str]] = {}
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        words = WORD.findall(text.lower())
+        for a, b in zip(words, words[1:]):
+            nexts.setdefault(a, set()).add(b)
+
+    def ending(word: str) -> str:
+        return re.escape(word) + ("(?![0-9])" if "." in word else "(?![a-z0-9])")
+
+    def starting(word: str) -> str:
+        # A word may follow the digits of a number with a point, and the next word such a number, directly.
+        return ("" if word[0].isdigit() else "(?<![a-z])") + re.escape(word) + ("[^a-z0-9]*" if "." in word else "[^a-z0-9]+")
+
+    firsts: dict[str, list[str]] = {}
+    for a in sorted(nexts):
+        firsts.setdefault(a[0], []).append(f"{starting(a)}(?:{'|'.join(ending(b) for b in sorted(nexts[a]))})")
+    return "|".join(f"(?={c})(?:{'|'.join(ways)})" for c, ways in sorted(firsts.items()))
+
+
+def _candidate(text: Column) -> Column:
+    return text.rlike(CUE) | F.lower(text).rlike(_near_gate())
+
+
 @dataclass
 class Model:
     regression: LogisticRegressionModel
@@ -177,8 +216,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Regression and the bar of the unknown class.
 
-    Trained on the forms of the templates and about ``SAMPLE_PARAGRAPHS`` paragraphs without a cue from
-    about ``SAMPLE_DOCS`` documents, chosen by hashes of id and place. The bar is the larger of one half and
+    Trained on the forms of the templates and about ``SAMPLE_PARAGRAPHS`` paragraphs from about ``SAMPLE_DOCS``
+    documents, chosen by hashes of id and place, that have no cue and agree with no template. The bar is the larger of one half and
     the 99th percentile of the best family's probability over held-back forms of no licence.
     """
     spark = docs.sparkSession
@@ -190,7 +229,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
     some = docs.where(chance(F.col(id_col)) < min(1.0, SAMPLE_DOCS / total))
     plain = paragraphs(some, id_col, text_col).where(~F.col("text").rlike(CUE))
-    plain = cut(plain.select("doc_id", "paragraph", words_of(F.col("text")).alias("words")))
+    plain = plain.select("doc_id", "paragraph", words_of(F.col("text")).alias("words"))
+    plain = cut(plain.where(_similarity(F.col("words")) < SIMILAR))
     held = max(1, plain.count())
     plain = plain.where(chance("doc_id", "paragraph", F.lit(1)) < min(1.0, SAMPLE_PARAGRAPHS / held))
     plain = plain.select(F.lit(NONE).alias("family"), F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(12)).cast("int").alias("form"), "words")
@@ -208,40 +248,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     return Model(regression, families, max(0.5, float(bar or 0.0)))
 
 
-def _similarity(own_words: Column, family: Column) -> Column:
-    """Largest share of two-word grams that the paragraph and a template of the family have in
+def _similarity(own_words: Column, family: Column | None = None) -> Column:
+    """Largest share of two-word grams that the paragraph and a template (of the family, if given) have in
     common, against the one with fewer grams."""
-    own = F.array_distinct(grams_of(own_words, 2))
-    best = F.lit(0.0)
+    rows = []
     for name, texts in TEMPLATES.items():
-        shares = []
         for text in texts:
             words = WORD.findall(text.lower())
-            grams = F.split(F.lit("|".join(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}))), r"\|")
-            smaller = F.greatest(F.least(F.size(own), F.size(grams)), F.lit(1))
-            shares.append(F.size(F.array_intersect(own, grams)) / smaller)
-        best = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(best)
-    return best
+            rows.append({"family": name, "grams": sorted({f"{a} {b}" for a, b in zip(words, words[1:])})})
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<family: string, grams: array<string>>>")
+    known = known if family is None else F.filter(known, lambda t: t["family"] == family)
+
+    def share(own: Column):
+        return lambda t: F.size(F.array_intersect(own, t["grams"])) / F.greatest(F.least(F.size(own), F.size(t["grams"])), F.lit(1))
+
+    # The one element binds the grams, so they are made once.
+    own = F.array(F.array_distinct(grams_of(own_words, 2)))
+    return F.get(F.transform(own, lambda o: F.greatest(F.lit(0.0), F.array_max(F.transform(known, share(o))))), F.lit(0))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with a cue word: doc_id, paragraph, family, probability, similarity.
+    """One row per paragraph with a cue word or a named family: doc_id, paragraph, family, probability, similarity.
 
     ``family`` is ``unknown`` where the probability misses the bar or no template agrees, and
-    ``none`` where the class of no licence is likeliest. A text without a cue word has no row;
-    null and empty texts have none. Repeated rows are scanned as often as they come.
+    ``none`` where the class of no licence is likeliest; paragraphs of these two have a row only with a
+    cue word. Null and empty texts have none. Repeated rows are scanned as often as they come.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CUE))
-    rows = paragraphs(rows, "doc_id", "text").where(F.col("text").rlike(CUE))
-    rows = rows.select("doc_id", "paragraph", words_of(F.col("text")).alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(_candidate(F.col("text")))
+    rows = paragraphs(rows, "doc_id", "text").where(_candidate(F.col("text")))
+    rows = rows.select("doc_id", "paragraph", F.col("text").rlike(CUE).alias("cue"), words_of(F.col("text")).alias("words"))
     rows = rows.withColumn("grams", _features(F.col("words")))
     tf = HashingTF(numFeatures=WIDTH, binary=True, inputCol="grams", outputCol="features")
     seen = model.regression.transform(tf.transform(rows)).withColumn("p", vector_to_array("p"))
     names = F.array(*[F.lit(f) for f in model.families])
-    seen = seen.select("doc_id", "paragraph", "words", F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
+    seen = seen.select("doc_id", "paragraph", "cue", "words", F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
     seen = seen.withColumn("similarity", _similarity(F.col("words"), F.col("named")))
     sure = (F.col("probability") >= model.bar) & (F.col("similarity") >= SIMILAR)
     family = F.when(F.col("named") == NONE, F.lit(NONE)).when(sure, F.col("named")).otherwise(F.lit(UNKNOWN))
+    seen = seen.where(F.col("cue") | ((F.col("named") != NONE) & sure))
     return seen.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), family.alias("family"), "probability", "similarity")
 
 
