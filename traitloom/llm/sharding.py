@@ -88,12 +88,16 @@ class Shuffle:
 
 
 def shuffle_of(spark: SparkSession, rows: int, shards: int = SHARDS, seed: int = SEED) -> Shuffle:
-    """The permutation of ``rows`` numbers, its longest walk measured on the cells outside (fewer than sqrt(rows) + 1)."""
+    """The permutation of ``rows`` numbers, its longest walk measured on the cells outside (fewer than sqrt(rows) + 1).
+
+    A walk begins at an outside cell whose predecessor is inside; outside cells that only lead to each other are on none.
+    """
     plain = Shuffle(rows, shards, seed)
     a, b = plain.sides
     longest = 0
     for back in (False, True):
-        steps, outside = 0, spark.range(rows, max(rows, a * b)).select(F.col("id").alias("p"))
+        outside = spark.range(rows, max(rows, a * b)).select(F.col("id").alias("p"))
+        steps, outside = 0, outside.where(plain.once(F.col("p"), not back) < rows)
         while outside.count():
             steps += 1
             outside = cut(outside.select(plain.once(F.col("p"), back).alias("p")).where(F.col("p") >= rows))
