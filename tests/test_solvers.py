@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import genotypes, scoring, sumstats, survival, training
+from traitloom.operators import chains, genotypes, scoring, sumstats, survival, training
 from traitloom.plans import evaluation, ldpred, phewas
 
 
@@ -254,6 +254,68 @@ def test_auto_chains_find_the_signal(spark):
     assert math.isclose(model.loc[model.rsid == "rs0", "effect"].iloc[0], 0.3, abs_tol=0.05)
 
 
+def _plain_chains(hats, corr, h2, starts, sweeps, n=10_000.0):
+    """One variant after the other, p and h2 moved after each sweep; mean effects of the second half."""
+    rng, m = np.random.default_rng(5), len(hats)
+    means = np.zeros((len(starts), m))
+    for c, p in enumerate(starts):
+        beta, h = np.zeros(m), h2
+        for s in range(sweeps):
+            for j in range(m):
+                res = hats[j] - corr[j] @ beta + beta[j]
+                c1 = h / (m * p) * n
+                c2 = c1 / (1 + c1)
+                post = 1 / (1 + (1 - p) / p * np.sqrt(1 + c1) * np.exp(-((c2 * res) ** 2) / (2 * c2 / n)))
+                draw = c2 * res + np.sqrt(c2 / n) * rng.standard_normal() if rng.random() < post else 0.0
+                beta[j] = 0.0 if draw * beta[j] < 0 else draw
+                means[c, j] += c2 * res * post * (s >= sweeps // 2)
+            p = max(rng.beta(1 + (beta != 0).sum(), 1 + (beta == 0).sum()), 1e-5)
+            h = max(beta @ corr @ beta, 1e-3)
+    return means.mean(0) / (sweeps - sweeps // 2)
+
+
+def test_windows_settle_where_one_by_one_draws_do(spark):
+    m = 24
+    corr = np.array([[{0: 1.0, 1: 0.5, 2: 0.2}.get(abs(i - j), 0.0) for j in range(m)] for i in range(m)])
+    true = np.zeros(m)
+    true[[3, 4, 11, 12, 20]] = 0.2, 0.1, 0.15, -0.15, 0.05
+    hats = corr @ true + np.linalg.cholesky(corr) @ np.random.default_rng(2).standard_normal(m) / 100
+    pairs = spark.createDataFrame([(1, i, j, float(corr[i, j])) for i in range(m) for j in range(i + 1, min(m, i + 3))], "chr int, i long, j long, r double")
+    h2 = spark.createDataFrame([("t", 0.1)], "phenotype string, h2 double")
+    starts = [0.05, 0.1, 0.2, 0.3] * 4
+    want = _plain_chains(hats, corr, 0.1, starts, 300)
+    for window in (4, 64):
+        effects, chains = ldpred.ldpred_auto(_summary(spark, hats), pairs, h2, p_init=starts, burn_in=4, rounds=4, sweeps=60, window=window)
+        got = effects.toPandas().groupby("row_id").beta_est.mean().sort_index().to_numpy()
+        assert np.abs(got - want).max() < 0.01, window
+        assert all(0.05 < r.h2_est < 0.3 for r in chains.collect())
+
+
+def test_colours_part_linked_variants():
+    rng = np.random.default_rng(0)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2)) if a != b}
+    both = sorted({(a, b) for a, b in links} | {(b, a) for a, b in links} | {(3, -2), (5, 70)})
+    to, of = np.array(both).T
+    shade = chains.colours(to, of, 60)
+    assert all(shade[a] != shade[b] for a, b in links) and len(shade) == 60
+
+
+def test_auto_job_ends_in_scores_and_heritability(spark):
+    hats = [0.3] + [0.0] * 9
+    pairs = spark.createDataFrame([(1, 0, 1, 0.5)], "chr int, i long, j long, r double")
+    estimates = spark.createDataFrame([("t", float("nan"))], "phenotype string, h2 double")
+    doses = spark.createDataFrame([(s, i, None if s == 2 and i == 0 else float((s + i) % 3)) for s in range(6) for i in range(10)], "iid long, row_id long, alt_dosage double")
+    alleles = spark.createDataFrame([(i, "C") for i in range(10)], "row_id long, alt string")
+    job = ldpred.auto_job(_summary(spark, hats), pairs, estimates, doses, alleles, p_init=[0.05, 0.2], burn_in=2, rounds=2, sweeps=20)
+    told = job["heritability"].collect()
+    assert len(told) == 2 and any(r.kept for r in told) and not any(r.h2_defined for r in told)
+    effect = {r.rsid: r.effect for r in job["model"].collect()}
+    # A missing dose of the first variant counts as its mode, the smallest of equally common ones.
+    dose = {(s, i): float((s + i) % 3) for s in range(6) for i in range(10)} | {(2, 0): 0.0}
+    for r in job["scores"].collect():
+        assert math.isclose(r.score, sum(effect[f"rs{i}"] * dose[r.iid, i] for i in range(10)), abs_tol=1e-9)
+
+
 def test_predict_long_equals_predict(spark):
     models = spark.createDataFrame([("a", ["r1", "r2"], [0.5, -1.0], 2.0)], "phenotype string, rsids array<string>, coef array<double>, intercept double")
     long = spark.createDataFrame([("a", 1, "r1", 2.0), ("a", 1, "r2", 1.0)], "phenotype string, iid long, rsid string, dosage double")

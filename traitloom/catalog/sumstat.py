@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traitloom.catalog.base import ORACLES, query, r6
 from traitloom.catalog.ld import LD_SQL, panel_ld
+from traitloom.catalog.traits import manifest
 from traitloom.catalog.variants import COUNTS_SQL
 from traitloom.fixtures import oracle, view
 from traitloom.functions.expressions import log_spaced, pval_from_log10
@@ -254,28 +255,43 @@ def model_export(spark, sf):
     return S.export_model(stats, beta).withColumn("effect", r6("effect"))
 
 
+def auto_job(spark, sf):
+    passed, estimates = heritability(spark, sf)
+    alleles = view(spark, sf, "fx_pvar").select("row_id", "alt")
+    return passed, ldpred.auto_job(passed, panel_ld(spark, sf), estimates, view(spark, sf, "fx_packed"), alleles, manifest(spark, sf))
+
+
 @query(
     "ldpred_auto_check",
     oracle(
-        f"""{_QC} SELECT phenotype, count(*) AS n_variants, CAST({ldpred.CHAINS} AS BIGINT) AS chains, CAST(0 AS BIGINT) AS violations
-FROM qc WHERE NOT fail_qc GROUP BY phenotype""",
+        f"""{_QC} SELECT phenotype, count(*) AS n_variants, CAST({ldpred.CHAINS} AS BIGINT) AS chains, CAST(0 AS BIGINT) AS violations,
+(SELECT count(DISTINCT iid) FROM fx_dosage) AS samples FROM qc WHERE NOT fail_qc GROUP BY phenotype""",
         "fx_pvar", "fx_gwas", "fx_dosage",
     ),
 )
 def ldpred_auto_check(spark, sf):
-    """Every chain has every variant, and proportions, heritability and effects stay within bounds."""
-    passed = S.passing(checked(spark, sf))
-    h2 = passed.select("phenotype").distinct().withColumn("h2", F.lit(0.1))
-    effects, chains = ldpred.ldpred_auto(passed, panel_ld(spark, sf), h2, burn_in=2, rounds=2, sweeps=4)
-    seen = effects.join(passed.select("phenotype", "row_id"), ["phenotype", "row_id"])
+    """The whole job as it is: all chains have all variants, values stay within bounds, models and scores are of the kept chains."""
+    passed, job = auto_job(spark, sf)
+    seen = job["effects"].join(passed.select("phenotype", "row_id"), ["phenotype", "row_id"])
     odd = (F.isnan("beta_est") | ~(F.abs("beta_est") < float("inf")) | ~(F.abs("corr_est") < float("inf"))).cast("bigint")
     sizes = seen.groupBy("phenotype").agg(
         F.count_distinct("row_id").alias("n_variants"), F.count_distinct("chain").alias("chains"), F.count(F.lit(1)).alias("cells"), F.sum(odd).alias("odd")
     )
-    bad = (~((F.col("p_est") >= 0) & (F.col("p_est") <= 1) & (F.col("h2_est") > 0) & (F.size("path_p_est") == 2))).cast("bigint")
-    wrong = chains.groupBy("phenotype").agg(F.sum(bad).alias("bad"))
-    total = F.col("odd") + F.col("bad") + (F.col("cells") != F.col("n_variants") * F.col("chains")).cast("bigint")
-    return sizes.join(wrong, "phenotype").select("phenotype", "n_variants", "chains", total.alias("violations"))
+    bad = (~((F.col("p_est") >= 0) & (F.col("p_est") <= 1) & (F.col("h2_est") > 0))).cast("bigint")
+    wrong = job["params"].groupBy("phenotype").agg(F.sum(bad).alias("bad"))
+    steps = job["paths"].groupBy("phenotype").agg(F.count(F.lit(1)).alias("steps"), F.max("path_iter").alias("rounds"))
+    kept = job["heritability"].groupBy("phenotype").agg(F.sum(F.col("kept").cast("bigint")).alias("kept"), F.count(F.lit(1)).alias("told"))
+    model = job["model"].groupBy("phenotype").agg(F.count(F.lit(1)).alias("modelled"))
+    scored = job["scores"].groupBy("phenotype").agg(F.count(F.lit(1)).alias("samples"), F.sum((~(F.abs("score") < float("inf"))).cast("bigint")).alias("lost"))
+    out = sizes
+    for table in (wrong, steps, kept, model, scored):
+        out = out.join(table, "phenotype")
+    faults = [
+        F.col("cells") != F.col("n_variants") * F.col("chains"), F.col("steps") != F.col("rounds") * F.col("chains"), F.col("rounds") != 10,
+        (F.col("kept") < 1) | (F.col("told") != F.col("chains")), F.col("modelled") != F.col("n_variants"),
+    ]
+    total = F.col("odd") + F.col("bad") + F.col("lost") + sum((f.cast("bigint") for f in faults), F.lit(0))
+    return out.select("phenotype", "n_variants", "chains", total.alias("violations"), "samples")
 
 
 @query("written_ldpred", ORACLES["model_export"])
@@ -289,7 +305,4 @@ def written_ldpred(spark, sf):
 @query("ldpred_auto")
 def ldpred_auto(spark, sf):
     """Score models of every trait: quality filter, LD-score heritability, all chains, kept-chain mean."""
-    passed, estimates = heritability(spark, sf)
-    h2 = cut(estimates.select("phenotype", F.coalesce(F.nanvl("h2", F.lit(None)), F.lit(0.001)).alias("h2")))
-    effects, _ = ldpred.ldpred_auto(passed, panel_ld(spark, sf), h2)
-    return ldpred.auto_model(passed, effects)
+    return auto_job(spark, sf)[1]["model"]
