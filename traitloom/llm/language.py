@@ -22,7 +22,7 @@ TOP = 300
 SAMPLE_ROWS = 8000
 MIN_SCORE = 0.05
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile(r"[A-Za-z]")
 
 
 def _letters() -> np.ndarray:
@@ -37,6 +37,11 @@ def _letters() -> np.ndarray:
 _TABLE = _letters()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode letter categories occurs; superscripts, fractions and numerals are none."""
+    return bool(_PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def top_ngrams(text: str, top: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``top`` most frequent n-grams (codes) and their counts; ties by smaller code."""
     raw = _TABLE[np.frombuffer(text.lower().encode(), np.uint8)]
@@ -106,7 +111,7 @@ class Profiles:
 
     def best(self, text: str | None) -> tuple[str, float]:
         """Language with the least distance (ties: first by name) and 1 - distance / worst."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         code, _ = top_ngrams(text, self.top)
         at = np.searchsorted(self.codes, code)

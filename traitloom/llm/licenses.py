@@ -6,8 +6,9 @@ grams names a family. It is trained on shortened and thinned forms of the templa
 and, for the class of no licence, on other sentences and on paragraphs of a bounded sample of
 documents. Forms kept out of training set the probability below which a paragraph is
 ``unknown``; a named family also has to share enough two-word grams with one of its templates.
-The classifier sees every paragraph with a cue word or with a two-word gram of any template, so
-none that could be named is left out.
+The classifier sees every paragraph with a cue word or one that shares enough two-word grams with any
+template, so none that could be named is left out. Words and the grams that occur in a template are
+made once per paragraph, as fields of an exploded struct that filters cannot be pushed below.
 """
 
 from __future__ import annotations
@@ -157,10 +158,17 @@ def _features(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, paragraph (from 0), text of the non-empty paragraphs."""
+    """doc_id, paragraph (from 0), cue, words and hits (distinct two-word grams of any template) of the non-empty paragraphs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("doc_id", F.posexplode(F.split("text", PARAGRAPH)).alias("paragraph", "text"))
-    return rows.where(F.trim("text") != "")
+    known = sorted({g for t in _template_grams() for g in t["grams"]})
+    parts = F.transform(F.split("text", PARAGRAPH), lambda p: F.struct(p.rlike(CUE).alias("cue"), words_of(p).alias("words"), (F.trim(p) != "").alias("some")))
+
+    def seen(e: Column) -> Column:
+        hits = F.array_distinct(F.filter(grams_of(e["words"], 2), lambda g: g.isin(known)))
+        return F.struct(e["cue"].alias("cue"), e["words"].alias("words"), hits.alias("hits"), e["some"].alias("some"))
+
+    rows = rows.select("doc_id", F.posexplode(F.transform(parts, seen)).alias("paragraph", "e")).where("e.some")
+    return rows.select("doc_id", "paragraph", "e.cue", "e.words", "e.hits")
 
 
 def _forms(spark: SparkSession) -> DataFrame:
@@ -181,29 +189,25 @@ def _forms(spark: SparkSession) -> DataFrame:
     return rows.select("family", "form", words.alias("words"))
 
 
-def _near_gate() -> str:
-    """Pattern over lower-case text that every text with a two-word gram of a template passes."""
-    nexts: dict[str, set[str]] = {}
-    for text in (t for texts in TEMPLATES.values() for t in texts):
-        words = WORD.findall(text.lower())
-        for a, b in zip(words, words[1:]):
-            nexts.setdefault(a, set()).add(b)
-
-    def ending(word: str) -> str:
-        return re.escape(word) + ("(?![0-9])" if "." in word else "(?![a-z0-9])")
-
-    def starting(word: str) -> str:
-        # A word may follow the digits of a number with a point, and the next word such a number, directly.
-        return ("" if word[0].isdigit() else "(?<![a-z])") + re.escape(word) + ("[^a-z0-9]*" if "." in word else "[^a-z0-9]+")
+def _template_grams() -> list[dict]:
+    rows = []
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            words = WORD.findall(text.lower())
+            rows.append({"family": name, "grams": sorted({f"{a} {b}" for a, b in zip(words, words[1:])})})
+    return rows
 
-    firsts: dict[str, list[str]] = {}
-    for a in sorted(nexts):
-        firsts.setdefault(a[0], []).append(f"{starting(a)}(?:{'|'.join(ending(b) for b in sorted(nexts[a]))})")
-    return "|".join(f"(?={c})(?:{'|'.join(ways)})" for c, ways in sorted(firsts.items()))
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """The paragraphs with a cue word or as much in common with some template as a named family needs.
 
-def _candidate(text: Column) -> Column:
-    return text.rlike(CUE) | F.lower(text).rlike(_near_gate())
+    Half of the grams of the shortest template, or of a shorter paragraph, have to be hits for that; the exact
+    share is asked of these only.
+    """
+    least = min(len(t["grams"]) for t in _template_grams())
+    enough = F.size("hits") >= SIMILAR * F.least(F.size(F.array_distinct(grams_of(F.col("words"), 2))), F.lit(least))
+    near = (F.size("hits") > 0) & enough & (_similarity(F.col("words"), F.col("hits")) >= SIMILAR)
+    return rows.where(F.col("cue") | near)
 
 
 @dataclass
@@ -228,9 +232,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         return F.pmod(F.xxhash64(F.lit("licence"), *keys), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     some = docs.where(chance(F.col(id_col)) < min(1.0, SAMPLE_DOCS / total))
-    plain = paragraphs(some, id_col, text_col).where(~F.col("text").rlike(CUE))
-    plain = plain.select("doc_id", "paragraph", words_of(F.col("text")).alias("words"))
-    plain = cut(plain.where(_similarity(F.col("words")) < SIMILAR))
+    plain = paragraphs(some, id_col, text_col).where(~F.col("cue"))
+    plain = cut(plain.where(_similarity(F.col("words"), F.col("hits")) < SIMILAR).select("doc_id", "paragraph", "words"))
     held = max(1, plain.count())
     plain = plain.where(chance("doc_id", "paragraph", F.lit(1)) < min(1.0, SAMPLE_PARAGRAPHS / held))
     plain = plain.select(F.lit(NONE).alias("family"), F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(12)).cast("int").alias("form"), "words")
@@ -248,22 +251,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     return Model(regression, families, max(0.5, float(bar or 0.0)))
 
 
-def _similarity(own_words: Column, family: Column | None = None) -> Column:
+def _similarity(words: Column, hits: Column, family: Column | None = None) -> Column:
     """Largest share of two-word grams that the paragraph and a template (of the family, if given) have in
     common, against the one with fewer grams."""
-    rows = []
-    for name, texts in TEMPLATES.items():
-        for text in texts:
-            words = WORD.findall(text.lower())
-            rows.append({"family": name, "grams": sorted({f"{a} {b}" for a, b in zip(words, words[1:])})})
-    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<family: string, grams: array<string>>>")
+    known = F.from_json(F.lit(json.dumps(_template_grams())), "array<struct<family: string, grams: array<string>>>")
     known = known if family is None else F.filter(known, lambda t: t["family"] == family)
 
     def share(own: Column):
-        return lambda t: F.size(F.array_intersect(own, t["grams"])) / F.greatest(F.least(F.size(own), F.size(t["grams"])), F.lit(1))
+        return lambda t: F.size(F.array_intersect(hits, t["grams"])) / F.greatest(F.least(own, F.size(t["grams"])), F.lit(1))
 
-    # The one element binds the grams, so they are made once.
-    own = F.array(F.array_distinct(grams_of(own_words, 2)))
+    # The one element binds the number of grams, so they are counted once.
+    own = F.array(F.size(F.array_distinct(grams_of(words, 2))))
     return F.get(F.transform(own, lambda o: F.greatest(F.lit(0.0), F.array_max(F.transform(known, share(o))))), F.lit(0))
 
 
@@ -274,15 +272,13 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``none`` where the class of no licence is likeliest; paragraphs of these two have a row only with a
     cue word. Null and empty texts have none. Repeated rows are scanned as often as they come.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(_candidate(F.col("text")))
-    rows = paragraphs(rows, "doc_id", "text").where(_candidate(F.col("text")))
-    rows = rows.select("doc_id", "paragraph", F.col("text").rlike(CUE).alias("cue"), words_of(F.col("text")).alias("words"))
+    rows = candidates(paragraphs(docs, id_col, text_col))
     rows = rows.withColumn("grams", _features(F.col("words")))
     tf = HashingTF(numFeatures=WIDTH, binary=True, inputCol="grams", outputCol="features")
     seen = model.regression.transform(tf.transform(rows)).withColumn("p", vector_to_array("p"))
     names = F.array(*[F.lit(f) for f in model.families])
-    seen = seen.select("doc_id", "paragraph", "cue", "words", F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
-    seen = seen.withColumn("similarity", _similarity(F.col("words"), F.col("named")))
+    seen = seen.select("doc_id", "paragraph", "cue", "words", "hits", F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
+    seen = seen.withColumn("similarity", _similarity(F.col("words"), F.col("hits"), F.col("named")))
     sure = (F.col("probability") >= model.bar) & (F.col("similarity") >= SIMILAR)
     family = F.when(F.col("named") == NONE, F.lit(NONE)).when(sure, F.col("named")).otherwise(F.lit(UNKNOWN))
     seen = seen.where(F.col("cue") | ((F.col("named") != NONE) & sure))

@@ -160,13 +160,23 @@ def nearest(
             for a in range(0, len(q), 256):
                 near = (q[a : a + 256] @ unit.T) / norm[None, :]
                 for i, row in enumerate(near):
-                    # All that may tie with the last one are looked at again exactly.
-                    last = np.partition(row, max(0, len(row) - k - 1))[max(0, len(row) - k - 1)]
-                    some = np.flatnonzero(row >= last - 1e-9 * max(1.0, abs(last)))
-                    own = query_table["id"][a + i].as_py()
-                    score = cosines(q[a + i], unit[some])
-                    found = [(-s, j) for s, n in zip(score.tolist(), some.tolist()) for j in ids[n] if j != own]
-                    out += [(own, j, -s) for s, j in sorted(found)[:k]]
+                    own, wide = query_table["id"][a + i].as_py(), k + 1
+                    while True:
+                        # All that may tie with the last one are looked at again exactly; rows of ids that are there
+                        # already, or the query's own, make room for more.
+                        at = max(0, len(row) - wide)
+                        last = np.partition(row, at)[at]
+                        some = np.flatnonzero(row >= last - 1e-9 * max(1.0, abs(last)))
+                        others = {j for n in some.tolist() for j in ids[n]} - {own}
+                        if len(others) >= k or len(some) == len(row):
+                            break
+                        wide = 2 * max(wide, len(some))
+                    score, held = cosines(q[a + i], unit[some]), {}
+                    for s, n in zip(score.tolist(), some.tolist()):
+                        for j in ids[n]:
+                            if j != own:
+                                held[j] = max(s, held.get(j, s))
+                    out += [(own, j, s) for j, s in sorted(held.items(), key=lambda x: (-x[1], x[0]))[:k]]
         cols = list(zip(*out)) if out else ((), (), ())
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
