@@ -161,10 +161,16 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, paragraph (from 0), cue, words and hits (distinct two-word grams of any template) of the non-empty paragraphs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     known = sorted({g for t in _template_grams() for g in t["grams"]})
+    firsts, seconds = (sorted({g.split(" ")[i] for g in known}) for i in (0, 1))
     parts = F.transform(F.split("text", PARAGRAPH), lambda p: F.struct(p.rlike(CUE).alias("cue"), words_of(p).alias("words"), (F.trim(p) != "").alias("some")))
 
     def seen(e: Column) -> Column:
-        hits = F.array_distinct(F.filter(grams_of(e["words"], 2), lambda g: g.isin(known)))
+        # A gram is put together only where both words occur in their places in templates.
+        words = e["words"]
+        starts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda i: F.get(words, i - 1).isin(firsts) & F.get(words, i).isin(seconds))
+        hits = F.transform(starts, lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i)))
+        hits = F.array_distinct(F.filter(hits, lambda g: g.isin(known)))
         return F.struct(e["cue"].alias("cue"), e["words"].alias("words"), hits.alias("hits"), e["some"].alias("some"))
 
     rows = rows.select("doc_id", F.posexplode(F.transform(parts, seen)).alias("paragraph", "e")).where("e.some")
