@@ -559,6 +559,31 @@ def test_pii_edges(spark, edge):
     assert pii.redact(edge.limit(0)).count() == 0
 
 
+def test_pii_long_text_of_many_matches(spark):
+    """Places, neighbours, overlaps and redaction hold in a text of many matches, signs beyond 16 bits included."""
+    rng = random.Random(5)
+    parts = []
+    for i in range(6000):
+        parts.append(rng.choice([f"u{i}@b{i % 7}.org", f"{rng.randrange(10**6, 10**9)}", "\U0001f642" * rng.randrange(1, 900) if i % 40 == 0 else "word", f"10.0.{i % 256}.{i % 300}"]))
+    text = ", ".join(parts)
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in rows.select("doc_id", pii.candidate_spans(pii.text_or_empty("text")).alias("c")).collect()}
+    assert found[2].c == [] and found[3].c == [] and len(found[1].c) > 1000
+    for s in found[1].c:
+        assert text[s.start : s.end] == s.value and s.before == text[max(0, s.start - 24) : s.start]
+        assert s.left == (text[s.start - 1] if s.start else " ") and s.right == text[s.end : s.end + 1]
+    out = pii.find(rows, None).withColumn("masked", pii.mask(F.col("pii_spans"))).withColumn("clean", pii.redacted(F.col("text"), F.col("pii_spans")))
+    one = out.where("doc_id = 1").first()
+    want, at, drawn = [], 0, [" "] * max(s.end for s in one.pii_spans)
+    for s in sorted(one.pii_spans, key=lambda s: (s.start, -s.end, s.kind_no)):
+        if s.start >= at:
+            want += [text[at : s.start], f"<{pii.KINDS[s.kind_no].upper()}>"]
+        at = max(at, s.end)
+        drawn[s.start : s.end] = "x" * (s.end - s.start)
+    assert one.clean == "".join(want) + text[at:] and "".join(one.masked) == "".join(drawn)
+    assert [f"{pii.KINDS[s.kind_no]}:{s.start}:{s.end}" for s in one.pii_spans] == helpers.pii_base(text)
+
+
 def test_pii_trees_judge_candidates(spark):
     """Bare numbers in the format and context of checked ones pass, other digits do not."""
     rng = random.Random(3)

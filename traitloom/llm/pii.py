@@ -30,6 +30,8 @@ SAMPLE_DOCS = 40_000
 TREES, DEPTH = 12, 3
 FLOOR = 0.5
 FORMS = 40  # filled-in texts of each template
+BLOCK_BITS, PIECE_BITS = 8, 10  # blocks of running sums, pieces of a text
+BLOCK, PIECE = 1 << BLOCK_BITS, 1 << PIECE_BITS
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Possessive quantifiers and the look-behind keep long runs linear; a run that follows the
 # end of the match before may still begin one. Neither changes what matches.
@@ -81,22 +83,57 @@ OTHER = {
 }
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost matches that do not overlap, in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    none = F.expr("array(named_struct('start', 0, 'end', 0, 'value', ''))")
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).alias("at"), F.slice(none, 1, 0).alias("out"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(GATES[kind]), found).otherwise(F.slice(none, 1, 0))
+def _running(values: Column, op) -> Column:
+    """For each place of an array of integers, ``op`` over zero and all values before it.
+
+    Arrays only grow within blocks of ``BLOCK`` values and over the ends of the blocks, so the work is
+    all but linear for any text that fits in a row. ``op`` has to be associative.
+    """
+    def grown(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+
+    def joined(parts: Column) -> Column:
+        before = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+        placed = F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, at: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda v: op(at, v)))
+        return F.flatten(placed)
+
+    def run(vs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(vs) - 1, F.lit(0)), BLOCK_BITS))
+        return _let(F.transform(starts, lambda b: grown(F.slice(vs, b * BLOCK + 1, F.lit(BLOCK)))), joined)
+
+    return _let(values, run)
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut every ``PIECE`` code points, so a place is reached without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+
+def _between(pieces: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` to ``end`` (exclusive) of a text in pieces; what lies behind its end is empty."""
+    first = F.shiftright(begin, PIECE_BITS)
+    near = F.array_join(F.slice(pieces, first + 1, F.shiftright(end - 1, PIECE_BITS) - first + 1), "")
+    return F.when(end > begin, F.substring(near, begin.bitwiseAND(PIECE - 1) + 1, end - begin)).otherwise(F.lit(""))
+
+
+def _matches(text: Column, *kinds: str) -> Column:
+    """Per kind an array<struct<start, end, value>> of the leftmost matches that do not overlap, in code points."""
+    def pairs(kind: str) -> Column:
+        gaps, hits = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+        # One gap more than hits.
+        both = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+        return F.when(text.rlike(GATES[kind]), both).otherwise(F.expr("slice(array(named_struct('gap', 0, 'hit', '')), 1, 0)"))
+
+    def placed(ps: Column) -> Column:
+        before = _running(F.transform(ps, lambda p: p["gap"] + F.length(p["hit"])), lambda a, b: a + b)
+        return F.zip_with(ps, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["hit"])).alias("end"), p["hit"].alias("value")))
+
+    return F.transform(F.array(*[pairs(k) for k in kinds]), placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -166,7 +203,7 @@ def base_spans(text: Column) -> Column:
     def passing(kind: str):
         return lambda x: _checked(kind, x["value"])
 
-    return _ordered([(k, F.filter(_matches(text, kind), passing(kind))) for k, kind in enumerate(BASE)])
+    return _let(_matches(text, *BASE), lambda found: _ordered([(k, F.filter(found[k], passing(kind))) for k, kind in enumerate(BASE)]))
 
 
 def failed_spans(text: Column) -> Column:
@@ -174,27 +211,39 @@ def failed_spans(text: Column) -> Column:
     def failing(kind: str):
         return lambda x: ~_checked(kind, x["value"]) & (F.length(_digits(x["value"])).between(13, 19) if kind == "card" else F.lit(True))
 
-    return _ordered([(k, F.filter(_matches(text, kind), failing(kind))) for k, kind in enumerate(BASE) if kind != "email"])
+    return _let(_matches(text, *BASE[1:]), lambda found: _ordered([(k + 1, F.filter(found[k], failing(kind))) for k, kind in enumerate(BASE[1:])]))
 
 
 def candidate_spans(text: Column) -> Column:
-    """Spans of the further generators; they may overlap one another and the base spans."""
-    found = {kind: _matches(text, kind) for kind in EXTRA}
-    found["account"] = F.transform(found["account"], _trimmed)
-    return _ordered([(len(BASE) + k, found[kind]) for k, kind in enumerate(EXTRA)])
+    """Spans of the further generators, with the text beside them; they may overlap one another and the base spans.
+
+    ``before``: up to 24 characters; ``left``, ``right``: the neighbours, a blank and nothing at the ends.
+    """
+    def listed(found: Column) -> Column:
+        return _ordered([(len(BASE) + k, F.transform(found[k], _trimmed) if kind == "account" else found[k]) for k, kind in enumerate(EXTRA)])
+
+    spans = _let(_matches(text, *EXTRA), listed)
 
+    def beside(pieces: Column):
+        def of(s: Column) -> Column:
+            before = _between(pieces, F.greatest(s["start"] - 24, F.lit(0)), s["start"])
+            left = F.when(s["start"] > 0, _between(pieces, s["start"] - 1, s["start"])).otherwise(F.lit(" "))
+            right = _between(pieces, s["end"], s["end"] + 1)
+            return F.struct(*[s[c].alias(c) for c in ("kind_no", "start", "end", "value")], before.alias("before"), left.alias("left"), right.alias("right"))
 
-def features(text: Column, span: Column) -> list[Column]:
-    """Format, context and kind of a span as doubles, in the order of ``FEATURES``."""
-    value, begin, end = span["value"], span["start"], span["end"]
+        return of
+
+    return _let(spans, lambda ss: _let(F.when(F.size(ss) > 0, _pieces(text)), lambda ps: F.transform(ss, beside(ps))))
+
+
+def features(span: Column) -> list[Column]:
+    """Format, context and kind of a candidate span as doubles, in the order of ``FEATURES``."""
+    value, before, left, right = span["value"], span["before"], span["left"], span["right"]
     size = F.length(value)
 
     def share(what: str) -> Column:
         return (size - F.length(F.regexp_replace(value, what, ""))) / F.greatest(size, F.lit(1))
 
-    before = F.substring(text, F.greatest(begin - 23, F.lit(1)), F.least(begin, F.lit(24)))
-    left = F.when(begin > 0, F.substring(text, begin, F.lit(1))).otherwise(F.lit(" "))
-    right = F.substring(text, end + 1, F.lit(1))
     digits = _digits(value)
     columns = [
         F.least(size, F.lit(64)), share("[0-9]"), share("[A-Za-z]"), share("[A-Z]"), share(r"[\x20().@+/-]"),
@@ -207,8 +256,31 @@ def features(text: Column, span: Column) -> list[Column]:
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns]
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _by_start(spans: Column) -> Column:
+    """The spans by start, the longest first."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind_no"].alias("kind_no"))))
+
+
+def _ends_before(sorted_spans: Column) -> Column:
+    """The furthest end of the spans before each one."""
+    return _running(F.transform(sorted_spans, lambda s: -s["back"]), lambda a, b: F.greatest(a, b))
+
+
+def mask(spans: Column) -> Column:
+    """A text as long as the last end, ``x`` where a span lies, blank elsewhere, in pieces."""
+    def drawn(ss: Column) -> Column:
+        def part(s: Column, at: Column) -> Column:
+            begin = F.greatest(s["start"], at)
+            return F.concat(F.repeat(F.lit(" "), begin - at), F.repeat(F.lit("x"), F.greatest(-s["back"] - begin, F.lit(0))))
+
+        return _pieces(F.array_join(F.zip_with(ss, _ends_before(ss), part), ""))
+
+    return _let(_by_start(spans), drawn)
+
+
+def _covered(span: Column, masked: Column) -> Column:
+    """Whether a span overlaps one of those that the mask was made of."""
+    return _between(masked, span["start"], span["end"]).contains("x")
 
 
 @dataclass
@@ -293,18 +365,23 @@ def templated(spark: SparkSession, forms: int = FORMS, seed: int = 11) -> DataFr
 
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """text, span, label of the candidates that a check decides, in about ``sample_docs`` documents chosen by a hash of the id."""
+    """span, label of the candidates that a check decides, in about ``sample_docs`` documents chosen by a hash of the id."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     chance = F.pmod(F.xxhash64(F.lit("pii"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    text = F.col("text")
     rows = docs.where(chance < share).select(text_or_empty(text_col).alias("text"))
-    rows = rows.select("text", base_spans(F.col("text")).alias("good"), failed_spans(F.col("text")).alias("bad"), candidate_spans(F.col("text")).alias("more"))
 
-    def label(s: Column) -> Column:
-        sure = (s["kind_no"] == KINDS.index("account")) & ~_refuted(s)
-        return F.when(sure | _overlaps(s, F.col("good")), 1.0).when(_refuted(s) | _overlaps(s, F.col("bad")), 0.0)
+    def labelled(good: Column, bad: Column) -> Column:
+        def label(s: Column) -> Column:
+            sure = (s["kind_no"] == KINDS.index("account")) & ~_refuted(s)
+            return F.when(sure | _covered(s, good), 1.0).when(_refuted(s) | _covered(s, bad), 0.0)
+
+        return F.transform("more", lambda s: F.struct(s.alias("span"), label(s).alias("label")))
 
-    labelled = F.transform("more", lambda s: F.struct(s.alias("span"), label(s).alias("label")))
-    rows = rows.select("text", F.explode(labelled).alias("one")).select("text", "one.span", "one.label")
+    rows = rows.select("text", base_spans(text).alias("passed"), failed_spans(text).alias("failed"))
+    rows = rows.select(mask(F.col("passed")).alias("good"), mask(F.col("failed")).alias("bad"), candidate_spans(text).alias("more"))
+    spans = _let(F.col("good"), lambda good: _let(F.col("bad"), lambda bad: labelled(good, bad)))
+    rows = rows.select(F.explode(spans).alias("one")).select("one.span", "one.label")
     return rows.where(F.col("label").isNotNull())
 
 
@@ -319,9 +396,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     """
     made = templated(docs.sparkSession).withColumn("span", F.explode(candidate_spans(F.col("text"))))
     made = made.where((F.col("span.start") <= F.col("begin")) & (F.col("span.end") >= F.col("end"))).where(~_refuted(F.col("span")))
-    made = made.select("text", "span", "label", "held", F.lit(True).alias("made"))
-    seen = _sampled(docs, id_col, text_col, sample_docs).select("text", "span", "label", F.lit(False).alias("held"), F.lit(False).alias("made"))
-    named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("text"), F.col("span")))]
+    made = made.select("span", "label", "held", F.lit(True).alias("made"))
+    seen = _sampled(docs, id_col, text_col, sample_docs).select("span", "label", F.lit(False).alias("held"), F.lit(False).alias("made"))
+    named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("span")))]
     table = cut(made.unionByName(seen).select("label", "held", "made", *named))
     sizes = {r["made"]: r["count"] for r in table.where("not held").groupBy("made").count().collect()}
     weight = min(1.0, sizes[True] / sizes.get(False, sizes[True]))
@@ -353,11 +430,14 @@ def find(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
     found = docs.drop("pii_spans").withColumn("__base", base_spans(text))
     if model is None:
         return found.withColumnRenamed("__base", "pii_spans")
-    more = F.filter(
-        candidate_spans(text),
-        lambda s: ~_overlaps(s, F.col("__base")) & ~_refuted(s) & (model.score(features(text, s)) >= model.threshold),
-    )
-    return found.withColumn("pii_spans", F.concat("__base", more)).drop("__base")
+
+    def kept(masked: Column) -> Column:
+        return F.filter("__more", lambda s: ~_covered(s, masked) & ~_refuted(s) & (model.score(features(s)) >= model.threshold))
+
+    # The mask is bound by ``_let``: alone, its expression would be put into the filter and drawn for each span.
+    found = found.withColumn("__mask", mask(F.col("__base"))).withColumn("__more", candidate_spans(text))
+    more = F.transform(_let(F.col("__mask"), kept), lambda s: F.struct(*[s[c].alias(c) for c in ("kind_no", "start", "end", "value")]))
+    return found.withColumn("pii_spans", F.concat("__base", more)).drop("__base", "__mask", "__more")
 
 
 def _listed(spans: Column) -> Column:
@@ -382,17 +462,15 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redacted(text: Column, spans: Column) -> Column:
     """Text with each stretch of overlapping spans replaced by the kind of its first span."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind_no"].alias("kind_no"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind_no"]))
-        return F.struct(
-            F.greatest(acc["at"], -s["back"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out")
-        )
+    def rest(pieces: Column, ss: Column) -> Column:
+        def part(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(_between(pieces, at, s["start"]), F.get(names, s["kind_no"]))).otherwise(F.lit(""))
+
+        last = F.aggregate(ss, F.lit(0), lambda a, s: F.greatest(a, -s["back"]))
+        return F.concat(F.array_join(F.zip_with(ss, _ends_before(ss), part), ""), _let(last, lambda at: _between(pieces, at, F.length(text))))
 
-    whole = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    whole = _let(_by_start(spans), lambda ss: _let(_pieces(text), lambda ps: rest(ps, ss)))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
