@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import chains, genotypes, scoring, sumstats, survival, training
+from traitloom.operators import chains, cox_scan, genotypes, regression, scoring, sumstats, survival, training
 from traitloom.plans import evaluation, ldpred, phewas
 
 
@@ -165,6 +165,71 @@ def test_phewas_against_numpy(spark):
         assert math.isclose(r.pvalue, math.erfc(abs(beta[0] / se) / math.sqrt(2)), rel_tol=1e-5)
 
 
+def _scan_case(spark, rng, n=240):
+    """Two phenotypes, five scores with gaps, tied and distinct times, missing times, events and strata."""
+    ids = np.arange(n)
+    x = rng.normal(size=(n, 3))
+    rows = []
+    for code in ("a", None):
+        time = np.ceil(rng.exponential(np.exp(-0.4 * x[:, 0])) * (6 if code == "a" else 1e6))
+        for i in ids:
+            sex = None if i % 11 == 0 else ("F", "M")[i % 2]
+            rows.append((code, int(i), sex, None if i % 37 == 5 else float(time[i]), None if i % 41 == 7 else int(rng.random() < 0.6),
+                         None if i % 53 == 9 else float(x[i, 1]), float(x[i, 2])))
+    cohort = spark.createDataFrame(rows, "code string, eid long, sex string, time double, event int, c0 double, c1 double")
+    scores = [(f"t{k}", int(i), float(x[i, 0] * k + rng.normal() + 100.0)) for k in range(4) for i in ids if (i + k) % 5 or k == 3]
+    scores += [("flat", int(i), 7.0) for i in ids] + [("none", int(i), None) for i in ids] + [("t0", None, 1.0)]
+    # A sample with two scores of one trait counts twice.
+    scores.append(("t1", 3, 99.0))
+    return cohort, spark.createDataFrame(scores, "trait string, iid long, score double")
+
+
+@pytest.mark.parametrize("size,lanes", [(16, 2), (100000, 64)])
+def test_scan_of_scores_equals_one_model_each(spark, size, lanes):
+    cohort, scores = _scan_case(spark, np.random.default_rng(21))
+    blocks, traits = cox_scan.score_blocks(scores, ["trait"], "iid", "score", lanes)
+    fits = cox_scan.cox_scan(cohort, blocks, ["code"], "eid", "time", "event", ["c0", "c1"], 0, ["sex"], size=size)
+    got = {(r.code, r.trait): r for r in fits.join(traits, ["block", "lane"]).collect()}
+    frame = scores.join(cohort, scores["iid"] == cohort["eid"]).dropna(subset=["score", "time", "event", "c0", "c1"])
+    frame = regression.zscore(frame, ["code", "trait"], ["score"], constant=0.0)
+    want = {(r.code, r.trait): r for r in survival.cox_ph(frame, ["code", "trait"], "time", "event", ["score", "c0", "c1"], ["sex"]).collect()}
+    assert set(got) == set(want) and {t for _, t in got} == {"t0", "t1", "t2", "t3", "flat"}
+    for key, w in want.items():
+        g = got[key]
+        assert g.converged and w.converged
+        np.testing.assert_allclose(g.coef, w.coef, rtol=1e-6, atol=1e-8)
+        np.testing.assert_allclose(g.se, w.se, rtol=1e-6, atol=1e-8)
+        assert math.isclose(g.loglik, w.loglik, rel_tol=1e-9)
+        assert key[1] != "flat" or g.coef[0] == 0
+
+
+def test_time_chunks_keep_tied_events_together_and_the_order(spark):
+    rng = np.random.default_rng(8)
+    # A third of all samples share one time; events of that time stay in one chunk, the others are dealt out.
+    time = np.where(rng.random(900) < 0.33, 50.0, rng.integers(1, 100, 900))
+    rows = [("k", int(i), float(t), int(rng.random() < (0.05 if t == 50 else 0.5))) for i, t in enumerate(time)]
+    df = spark.createDataFrame(rows, "k string, eid long, time double, event int")
+    out = cox_scan.time_chunks(df, ["k"], "time", "event", ["eid"], 32).toPandas()
+    assert len(out) == 900 and out[out.event == 1].groupby("time").chunk.nunique().max() == 1
+    assert out[(out.time == 50) & (out.event == 0)].chunk.nunique() >= 8
+    span = out.groupby("chunk").time.agg(["min", "max"]).sort_index()
+    assert (span["min"].to_numpy()[:-1] >= span["max"].to_numpy()[1:]).all()
+    sizes = out.groupby("chunk").size()
+    assert sizes.max() <= 32 + out[out.event == 1].groupby("time").size().max() + 32
+    for t, same in out.groupby("time"):
+        if same.event.nunique() == 2:
+            assert same[same.event == 0].chunk.max() <= same[same.event == 1].chunk.min()
+
+
+def test_scan_of_empty_tables(spark):
+    cohort, scores = _scan_case(spark, np.random.default_rng(21))
+    blocks, _ = cox_scan.score_blocks(scores, ["trait"], "iid", "score")
+    none, _ = cox_scan.score_blocks(scores.where("false"), ["trait"], "iid", "score")
+    args = (["code"], "eid", "time", "event", ["c0", "c1"], 2, ["sex"])
+    assert cox_scan.cox_scan(cohort.where("false"), blocks, *args).count() == 0
+    assert cox_scan.cox_scan(cohort, none, *args).count() == 0
+
+
 def test_ldsc_against_numpy(spark):
     rng = np.random.default_rng(2)
     m = 600

@@ -124,6 +124,37 @@ def assoc_prepare_check(spark, sf):
     return model.groupBy(*phewas.KEYS).agg(n.alias("n"), bad.alias("violations"))
 
 
+# A prime larger than the order keys of the test tables, so no two samples share an age.
+_AGE = "1 + (eid * 7919) % 1000003"
+
+
+def _scan_sql(steps: int) -> str:
+    """Newton steps of one score per platform, phecode and trait; ages are distinct, so there are no ties."""
+    parts = [f"""
+cohort AS (SELECT s.platform, c.phecode, s.trait, c.sex, c.event, {_AGE} AS age, s.score FROM fx_scores s
+  JOIN fx_phecode c ON s.iid = c.eid JOIN fx_qc q ON c.genid = q.sample_id WHERE q.in_ancestry_subset = 1),
+model AS MATERIALIZED (SELECT platform, phecode, trait, sex, event, age, (score - avg(score) OVER k) / stddev_pop(score) OVER k AS x
+  FROM cohort WINDOW k AS (PARTITION BY platform, phecode, trait)),
+b0 AS (SELECT DISTINCT platform, phecode, trait, 0.0e0 AS b, 0.0e0 AS info FROM model)"""]
+    for k in range(steps):
+        parts.append(f"""r{k} AS MATERIALIZED (SELECT platform, phecode, trait, b, event, x, sum(exp(b*x)) OVER w AS s0, sum(x*exp(b*x)) OVER w AS s1, sum(x*x*exp(b*x)) OVER w AS s2
+  FROM model JOIN b{k} USING (platform, phecode, trait) WINDOW w AS (PARTITION BY platform, phecode, trait, sex ORDER BY age DESC)),
+b{k + 1} AS MATERIALIZED (SELECT platform, phecode, trait, any_value(b) + sum(x - s1 / s0) / sum(s2 / s0 - (s1 / s0) ** 2) AS b,
+  sum(s2 / s0 - (s1 / s0) ** 2) AS info FROM r{k} WHERE event = 1 GROUP BY ALL)""")
+    low, high = (f"round(exp(b {sign} {survival.Z975} / sqrt(info)), 6) + 0.0e0" for sign in "-+")
+    parts.append(f"SELECT platform, phecode, trait, round(exp(b), 6) + 0.0e0 AS hr, {low} AS hr_low, {high} AS hr_high, true AS converged FROM b{steps}")
+    return ",\n".join(parts[:-1]) + "\n" + parts[-1]
+
+
+@query("phewas_score_only", oracle(_scan_sql(7), "fx_qc", "fx_scores", "fx_phecode"))
+def phewas_score_only(spark, sf):
+    """The scan without components and array types, over as many ages as samples."""
+    scores, surv, qc = scan_inputs(spark, sf)
+    aged = surv.withColumn("time", F.expr(_AGE))
+    out = phewas.phewas(scores, aged, qc.withColumn("array_type", F.lit("one")), components=[])
+    return out.select(*phewas.KEYS, *[r6(c).alias(c) for c in ("hr", "hr_low", "hr_high")], "converged")
+
+
 @query("phewas")
 def phewas_scan(spark, sf):
     """Hazard ratios of every platform, phecode and trait; checked in the tests."""

@@ -60,6 +60,15 @@ def _unpack(packed: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def event_ties(times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For event times with equals side by side: number of the tie of each event, first event of
+    each tie, and the share of the tied events that Efron's method has taken out at each event."""
+    first = np.flatnonzero(np.r_[True, times[1:] != times[:-1]])
+    d = np.diff(np.append(first, len(times)))
+    g = np.repeat(np.arange(len(first)), d)
+    return g, first, (np.arange(len(times)) - first[g]) / d[g]
+
+
 def _stratum(times: pd.DataFrame, k: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, gradient and information of one stratum, ties by Efron's method."""
     # Rows come per (time, event); latest time first, both sorts of a time side by side.
@@ -78,18 +87,40 @@ def _stratum(times: pd.DataFrame, k: int, beta: np.ndarray) -> tuple[float, np.n
     d, d0 = per_time(d).astype(int), per_time(w0 * ev)
     d1, d2 = per_time(w1 * ev[:, None]), per_time(w2 * ev[:, None, None])
     dx = per_time(np.vstack(t["x"].to_numpy()) * ev[:, None])
-    has = np.flatnonzero(d > 0)
-    ll, grad, info = 0.0, np.zeros(k), np.zeros((k, k))
-    for m in has:
-        share = (np.arange(d[m]) / d[m])[:, None]
-        z0 = s0[m] - share[:, 0] * d0[m]
-        z1 = s1[m] - share * d1[m]
-        z2 = s2[m] - share[:, :, None] * d2[m]
-        mean = z1 / z0[:, None]
-        ll += dx[m] @ beta - np.log(z0).sum()
-        grad += dx[m] - mean.sum(axis=0)
-        info += (z2 / z0[:, None, None]).sum(axis=0) - mean.T @ mean
-    return ll, grad, info
+    if not d.any():
+        return 0.0, np.zeros(k), np.zeros((k, k))
+    m = np.repeat(np.arange(len(d)), d)
+    _, begin, share = event_ties(m)
+    has = m[begin]
+    z0 = s0[m] - share * d0[m]
+    mean = (s1[m] - share[:, None] * d1[m]) / z0[:, None]
+    info = np.tensordot(np.add.reduceat(1 / z0, begin), s2[has], 1) - np.tensordot(np.add.reduceat(share / z0, begin), d2[has], 1)
+    ll = (dx[has] @ beta).sum() - np.log(z0).sum()
+    return ll, dx[has].sum(axis=0) - mean.sum(axis=0), info - mean.T @ mean
+
+
+def newton_step(
+    beta: np.ndarray, prev: np.ndarray, old_ll: float, steps: int, ll: float, grad: np.ndarray, info: np.ndarray, tol: float
+) -> dict:
+    """State of a model after one step: a step that lowered the likelihood is halved, and
+    directions without information stay where they are."""
+    k = len(beta)
+    scale = np.sqrt(np.clip(np.diag(info), 0, None))
+    live = scale > 1e-8 * max(1.0, scale.max(initial=0.0))
+    cov = np.zeros((k, k))
+    if live.any() and np.isfinite(info).all():
+        s = scale[live]
+        inv = np.linalg.pinv(info[np.ix_(live, live)] / np.outer(s, s), rcond=1e-10, hermitian=True)
+        cov[np.ix_(live, live)] = inv / np.outer(s, s)
+    worse = steps > 0 and not pd.isna(old_ll) and not (ll >= old_ll - 1e-9 * (1 + abs(old_ll)))
+    if worse:
+        new, keep_ll, keep = (beta + prev) / 2, old_ll, prev
+        done = float(np.abs(new - prev).max(initial=0.0)) < tol
+    else:
+        move = cov @ grad
+        done = float(np.abs(move).max(initial=0.0)) < tol
+        new, keep_ll, keep = (beta if done else beta + move), ll, beta
+    return {"beta": new, "prev": keep, "ll": keep_ll, "steps": steps + 1, "open": not done, "se": np.sqrt(np.clip(np.diag(cov), 0, None))}
 
 
 def cox_ph(
@@ -144,25 +175,9 @@ def cox_ph(
         for _, part in pdf.groupby(groups[len(keys):], dropna=False) if strata else [(None, pdf)]:
             a, b, c = _stratum(part, k, beta)
             ll, grad, info = ll + a, grad + b, info + c
-        scale = np.sqrt(np.clip(np.diag(info), 0, None))
-        live = scale > 1e-8 * max(1.0, scale.max(initial=0.0))
-        cov = np.zeros((k, k))
-        if live.any() and np.isfinite(info).all():
-            s = scale[live]
-            inv = np.linalg.pinv(info[np.ix_(live, live)] / np.outer(s, s), rcond=1e-10, hermitian=True)
-            cov[np.ix_(live, live)] = inv / np.outer(s, s)
-        worse = steps > 0 and not pd.isna(old_ll) and not (ll >= old_ll - 1e-9 * (1 + abs(old_ll)))
-        if worse:
-            new, keep_ll, keep = (beta + prev) / 2, old_ll, prev
-            done = float(np.abs(new - prev).max(initial=0.0)) < tol
-        else:
-            move = cov @ grad
-            done = float(np.abs(move).max(initial=0.0)) < tol
-            new, keep_ll, keep = (beta if done else beta + move), ll, beta
         row = {c: [pdf[c].iloc[0]] for c in keys}
-        row |= {"beta": [new], "prev": [keep], "ll": [keep_ll], "steps": [steps + 1], "open": [not done]}
-        row["se"] = [np.sqrt(np.clip(np.diag(cov), 0, None))]
-        return pd.DataFrame(row)
+        moved = newton_step(beta, prev, old_ll, steps, ll, grad, info, tol)
+        return pd.DataFrame(row | {c: [v] for c, v in moved.items()})
 
     x = [F.col(f"__x{i}") for i in range(k)]
     eta = F.lit(0.0)

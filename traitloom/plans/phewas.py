@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.operators.joins import build_assoc_frame
+from traitloom.operators.cox_scan import cox_scan, score_blocks
 from traitloom.operators.regression import fitted, join_stats, ols_coefficients, ols_sums, one_hot, zscore
-from traitloom.operators.survival import cox_ph, hazard_ratios
+from traitloom.operators.survival import hazard_ratios
 from traitloom.session import cut
 
 KEYS = ["platform", "phecode", "trait"]
@@ -56,16 +56,21 @@ def phewas(scores: DataFrame, survival: DataFrame, qc: DataFrame, components: Se
 
     ``scores``: platform, trait, iid, score. ``survival``: phecode, eid, genid, sex, event,
     time. ``qc``: sample_id, array_type and components. Strata are the sexes; a phecode with
-    one sex has one stratum. Indicators come from the levels of the QC table; a level that a
+    one sex has one stratum. The scores go through in blocks of traits (``cox_scan``), so the covariates of a
+    sample are held once per block. Indicators come from the levels of the QC table; a level that a
     phecode lacks carries no information there and leaves the score's estimate alone.
     """
     qc = one_hot(qc, ["array_type"])
     indicators = [c for c in qc.columns if c.startswith("array_type_")]
-    frame = build_assoc_frame(scores, survival, qc)
-    frame = frame.select(*KEYS, "sex", "event", "time", "score", *components, *indicators)
-    model = prepare_assoc(frame, KEYS, components, category=None)
-    fits = cox_ph(model, KEYS, "time", "event", ["score", *components, *indicators], ["sex"])
-    return hazard_ratios(fits, KEYS)
+    # Scaled once over the samples: it keeps the sums of products well conditioned and changes no estimate.
+    scales = qc.agg(*[f(c).alias(f"{n}_{c}") for c in components for n, f in (("m", F.avg), ("s", F.stddev_pop))] or [F.lit(0)]).first()
+    scaled = [((F.col(c) - scales[f"m_{c}"]) / (scales[f"s_{c}"] or 1.0)).alias(c) for c in components]
+    qc = qc.select("sample_id", *scaled, *indicators)
+    cohort = survival.join(qc, survival["genid"] == qc["sample_id"]).select("phecode", "eid", "sex", "event", "time", *components, *indicators)
+    blocks, traits = score_blocks(scores, ["platform", "trait"], "iid", "score")
+    fits = cox_scan(cohort, blocks, ["phecode"], "eid", "time", "event", [*components, *indicators], len(components), ["sex"])
+    named = fits.join(traits, ["block", "lane"])
+    return hazard_ratios(named, KEYS)
 
 
 def rank_associations(results: DataFrame, n: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
