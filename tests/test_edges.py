@@ -288,6 +288,46 @@ def test_packed_and_long_genotypes_agree(spark):
     assert all((one[k] is None and two[k] is None) or math.isclose(one[k], two[k], abs_tol=1e-6) for k in one)
 
 
+def test_effects_of_all_traits_meet_a_variant_once(spark):
+    rng = np.random.default_rng(31)
+    samples, variants, traits = 30, 12, 25
+    cells = [(i, v, None if rng.random() < 0.2 else float(rng.integers(0, 3))) for i in range(samples) for v in range(variants)]
+    long = spark.createDataFrame(cells, "iid long, row_id long, alt_dosage double")
+    manifest = spark.createDataFrame([(i, i) for i in range(samples)], "iid long, sample_idx long")
+    packed = genotypes.pack_genotypes(long, manifest, block=8)
+    rows = [(None if t == 0 else f"t{t}", int(v), float(rng.normal()), bool(rng.random() < 0.5), None if t % 3 else float(t % 2) + 0.5)
+            for t in range(traits) for v in range(variants) if rng.random() < 0.4]
+    # A repeated effect counts twice; an effect without value or allele not at all.
+    rows += [rows[3], ("t1", 0, None, True, None), ("t1", 1, 1.0, None, None)]
+    effects = spark.createDataFrame(rows, "phenotype string, row_id long, effect double, counts_alt boolean, fill double")
+    lists = scoring.gather_effects(effects)
+    assert lists.count() == len({r[1] for r in rows}) and scoring.gather_effects(effects, 5).count() > lists.count()
+    assert scoring.gather_effects(effects, 5).select(F.sum(F.size("entries"))).first()[0] == len(rows) - 2
+    dose = {(i, v): d for i, v, d in cells}
+    want = {}
+    for t, v, e, alt, fill in rows:
+        for i in range(samples):
+            d = dose[i, v] if dose[i, v] is not None else fill
+            if d is not None and e is not None and alt is not None:
+                want[t, i] = want.get((t, i), 0.0) + e * (d if alt else 2 - d)
+    got = {(r.phenotype, r.iid): r.score for r in scoring.score(packed, effects, manifest, 8).collect() if r.score is not None}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert scoring.score(packed, effects.where("false"), manifest, 8).count() == 0
+
+
+def test_tiles_of_traits_do_not_change_scores(monkeypatch):
+    rng = np.random.default_rng(4)
+    doses = np.where(rng.random((9, 20)) < 0.1, np.nan, rng.integers(0, 3, (9, 20)).astype(float))
+    n = 300
+    row, trait = rng.integers(0, 9, n), rng.integers(0, 70, n)
+    entries = {"effect": rng.normal(size=n), "fill": np.where(rng.random(n) < 0.5, np.nan, 1.5), "counts_alt": rng.random(n) < 0.5}
+    whole = dict(scoring._block_scores(doses, row, trait, entries))
+    monkeypatch.setattr(scoring, "WEIGHT_CELLS", 30)
+    tiled = dict(scoring._block_scores(doses, row, trait, entries))
+    assert set(whole) == set(tiled) == set(trait.tolist())
+    assert all(np.allclose(whole[t], tiled[t]) for t in whole)
+
+
 def test_sample_blocks_do_not_change_linkage(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 3, size=(60, 20))
