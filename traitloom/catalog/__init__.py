@@ -2,7 +2,7 @@
 
 from traitloom.catalog import base
 
-from traitloom.catalog import disease, files, ld, qtl, relational, sumstat, traits, variants  # noqa: E402,F401
+from traitloom.catalog import disease, files, ld, qtl, relational, sheets, sumstat, traits, variants  # noqa: E402,F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -80,6 +80,24 @@ WHERE phecode <> 'P' OR nation % 2 = 1""",
 SELECT CASE WHEN trait = 'price' THEN 'Panel' ELSE 'Array' END AS platform, trait, iid,
        CASE WHEN trait = 'price' THEN price ELSE CAST((iid * 13 + cust * 7) % 1009 AS DOUBLE) + price / 1000 END AS score
 FROM (SELECT {explode}('price', 'mixed'{end}) AS trait, o_orderkey AS iid, o_custkey AS cust, o_totalprice AS price FROM {orders})""",
+    # A protein panel: three panels, several measures a protein, lists of proteins, proteins without an id.
+    "fx_panel": """
+SELECT k, panel, g, panel || '_a' || CAST(k AS STRING) || '___q' || CAST(g AS STRING) AS variable,
+       CASE WHEN g % 9 = 0 OR g = 195 THEN '' WHEN g = 7 THEN 'Q8WWJ7' WHEN g % 5 = 1 THEN 'Q' || CAST(g AS STRING) || ';Q' || CAST(g + 1 AS STRING)
+            ELSE 'Q' || CAST(g AS STRING) END AS uniprot,
+       'OID' || lpad(CAST(g AS STRING), 5, '0') AS olink_id, 'prot' || CAST(g % 2 + k % 2 AS STRING) AS protein,
+       CASE WHEN panel = 'inf' THEN 'INF1' ELSE upper(panel) END || '_A.' || CAST(k AS STRING) || '___Q' || CAST(g AS STRING) AS measure, size
+FROM (SELECT p_partkey AS k, p_partkey % 400 AS g, CASE p_partkey % 3 WHEN 0 THEN 'inf' WHEN 1 THEN 'cvd2' ELSE 'neu' END AS panel, p_size AS size FROM {part})""",
+    "fx_aptamer": """
+SELECT CASE WHEN k % 10 = 0 THEN 'Control' ELSE 'Protein' END AS Type, CAST(floor(k / 2) AS BIGINT) || '-' || k % 3 AS SeqId,
+       CASE k % 6 WHEN 0 THEN 'VEGFA' WHEN 1 THEN 'CGA' WHEN 2 THEN 'F2' WHEN 3 THEN 'CKB' WHEN 4 THEN 'POMC' ELSE 'GENE' || CAST(k AS STRING) END || '.' || k AS SOMAMER_ID,
+       'v' || k AS variable,
+       CASE k % 7 WHEN 0 THEN 'Luteinizing hormone' WHEN 1 THEN 'MPIF-1' WHEN 2 THEN '14-3-3' WHEN 3 THEN 'SEM6C' ELSE 'Target-' || k END AS Target,
+       'Full-name-' || k AS TargetFullName, 'U' || k AS UniProt, 'G' || k % 50 AS Gene,
+       CAST(k % 22 + 1 AS STRING) AS chr, CAST(k * 100 AS STRING) AS tss, size
+FROM (SELECT p_partkey AS k, p_size AS size FROM {part})""",
+    "fx_measured": """
+SELECT l_partkey AS k, l_suppkey AS iid, CASE WHEN l_linenumber = 7 THEN CAST(NULL AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END AS value FROM {lineitem}""",
     "fx_loc": """
 SELECT 'SeqId_' || CAST(n_nationkey AS STRING) AS phenotype,
        CAST(n_nationkey % 5 + 1 AS STRING) || '|' || CAST((n_nationkey + 2) % 5 + 1 AS STRING) AS chr,

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.functions.expressions import finite, sorted_alleles
+from traitloom.operators.ordering import null_safe_on
 
 
 def update_join(
@@ -208,6 +209,12 @@ def locate_genes(
     )
 
 
+def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Inner join in which missing keys match; ``carry`` are the columns taken from the right."""
+    joined = left.alias("a").join(right.alias("b"), null_safe_on(list(keys), "a", "b"))
+    return joined.select("a.*", *[F.col(f"b.{c}") for c in carry])
+
+
 def build_assoc_frame(scores: DataFrame, survival: DataFrame, qc: DataFrame) -> DataFrame:
     """Scores, survival and sample QC on their own key names: iid = eid and genid = sample_id."""
     cohort = survival.join(qc, survival["genid"] == qc["sample_id"]).drop(qc["sample_id"])
