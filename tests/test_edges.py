@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from traitloom.functions import expressions as E
 from traitloom.functions import names
 from traitloom.operators import aggregates, cis, genotypes, joins, ld, ordering, regression, scoring, survival
-from traitloom.plans import curation, phenotypes, qtl
+from traitloom.plans import curation, phenotypes, qtl, sheets
 from traitloom.session import cut, drop_cut
 from traitloom.sources import readers, writers
 
@@ -218,6 +218,25 @@ def test_short_names(spark):
     assert got["5-6"].UniProt == "P61981|Q04917" and got["1-2"].phenotype == "SeqId_1_2"
 
 
+def test_panel_sheet_on_odd_rows(spark):
+    rows = [("inf_a___q1", "Q1;Q2", "OID1", "inf", "p"), ("neu_a___q1", "Q1.Q2", "OID2", "neu", "p"), ("cvd_x___", "", "OID00195", "cvd", None),
+            ("inf_b___q3", "P16284", "OID3", "inf", "r"), ("inf_c___q4", None, "OID4", "inf", "s")]
+    info = spark.createDataFrame(rows, "variable string, uniprot string, olink_id string, panel string, protein string")
+    genes = spark.createDataFrame([("Q1", "7"), ("Q2", None)], "uniprot string, entrez string")
+    places = spark.createDataFrame([(7, "3", 99)], "entrez int, chr string, start int")
+    located = sheets.panel_info(info, genes, places)
+    assert located.count() == len(rows)
+    results = spark.createDataFrame([("INF1_A___Q1",), ("Cvd.X--___",), ("inf1_b___q3",), ("unknown",), (None,)], "measure string")
+    hits = sheets.name_panel_results(results, located)
+    assert sorted((r.measure or "", r.phenotype or "") for r in hits.collect()) == [
+        ("", ""), ("Cvd.X--___", ""), ("INF1_A___Q1", "Q1.Q2"), ("inf1_b___q3", "P16284"), ("unknown", "")]
+    sheet = sorted(tuple(r) for r in sheets.panel_sheet(located, hits).collect())
+    assert sheet == [("P16284", "P16284", "r", "17", "62396775", "inf"), ("Q1.Q2", "Q1.Q2", "p", "3", "99", "neu"), ("Q1.Q2", "Q1;Q2", "p", "3", "99", "inf")]
+    values = spark.createDataFrame([("inf_a___q1", 1, 2.0), ("neu_a___q1", 1, 4.0), ("inf_a___q1", 2, None), ("inf_c___q4", 1, 9.0)], "variable string, iid long, value double")
+    assert [tuple(r) for r in sheets.sheet_values(values, located, hits).collect()] == [("Q1.Q2", 1, 3.0)]
+    assert sheets.panel_sheet(located.where("false"), hits).count() == 0 and sheets.panel_sheet(located, hits.where("false")).count() == 0
+
+
 def test_panel_names(spark):
     df = spark.createDataFrame([("INF1_DNER___Q8NFT8 ", "", "OID1"), ("inf_4EBP1___Q13541", "P1;P2", "OID2"), ("Neu.X--1", "P3", "O")], "v string, u string, o string")
     rows = df.select(names.panel_match_name("v").alias("m"), names.panel_phenotype("u", "o").alias("p")).collect()
