@@ -396,3 +396,38 @@ def test_running_sums_of_either_sign(spark):
         part = sorted((r for r in got if r.k == key), key=lambda r: r.o)
         assert np.allclose([r.sv for r in part], np.cumsum([r.v for r in part]))
         assert np.allclose([r.sn for r in part], np.cumsum([r.n for r in part]))
+
+
+def _computed_genotypes(spark):
+    """Genotypes made by expressions, which Spark takes for a few rows: packed, long, manifest."""
+    samples = spark.range(6).select(F.col("id").alias("iid"), F.col("id").alias("sample_idx"))
+    packed = spark.range(8).select(
+        F.col("id").alias("row_id"), F.lit(0).alias("sample_block"),
+        F.transform(F.sequence(F.lit(0), F.lit(5)), lambda s: ((s * 5 + F.col("id") * 7) % 3).cast("float")).alias("doses"),
+    )
+    return packed, genotypes.unpack_genotypes(packed, samples), samples
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_genotypes_are_never_broadcast(spark):
+    packed, long, samples = _computed_genotypes(spark)
+    variants = spark.range(8).select(F.lit(1).alias("chr"), (F.col("id") * 10).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.col("id").alias("row_id"))
+    hits = spark.range(4).select(F.lit("t").alias("phenotype"), F.concat(F.lit("rs"), "id").alias("rsid"), F.lit(1).alias("chr"), (F.col("id") * 10).cast("int").alias("pos"), F.lit("C").alias("effect_allele"), F.lit("A").alias("other_allele"), F.lit(0.5).alias("effect"))
+    chosen = joins.match_effects(hits, variants)
+    one, many = scoring.score(packed, chosen, samples), scoring.score(long, chosen)
+    frames = {
+        "row_id": [one, many, joins.effect_dosage(long, hits, variants), ld.ld_pairs(packed, variants, 100)],
+        "iid": [genotypes.pack_genotypes(long, samples)], "sample_idx": [long],
+    }
+    for key, made in frames.items():
+        for df in made:
+            assert f"SortMergeJoin [{key}" in _plan(df)
+    want = {i: 0.5 * sum((i * 5 + v * 7) % 3 for v in range(4)) for i in range(6)}
+    for df in (one, many):
+        assert {r["iid"]: r["score"] for r in df.collect()} == pytest.approx(want)
+    back = {r["row_id"]: list(r["doses"]) for r in genotypes.pack_genotypes(long, samples).collect()}
+    assert back == {r["row_id"]: list(r["doses"]) for r in packed.collect()}
+    assert ld.ld_pairs(packed, variants, 100).count() > 0
