@@ -9,11 +9,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from traitloom.fixtures import view
 from traitloom.functions import expressions as E
 from traitloom.functions import names
 from traitloom.operators import aggregates, cis, genotypes, joins, ld, ordering, regression, scoring, survival
 from traitloom.plans import curation, phenotypes, qtl, sheets
-from traitloom.session import cut, drop_cut
+from traitloom.session import cut, drop_cut, task_count
 from traitloom.sources import readers, writers
 
 
@@ -431,3 +432,9 @@ def test_genotypes_are_never_broadcast(spark):
     back = {r["row_id"]: list(r["doses"]) for r in genotypes.pack_genotypes(long, samples).collect()}
     assert back == {r["row_id"]: list(r["doses"]) for r in packed.collect()}
     assert ld.ld_pairs(packed, variants, 100).count() > 0
+
+
+def test_genotype_views_are_made_in_many_tasks(spark, tmp_path):
+    spark.range(10).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("fx_packed", "fx_dosage"):
+        assert view(spark, str(tmp_path), name).rdd.getNumPartitions() == task_count(spark) > 1
