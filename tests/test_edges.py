@@ -438,3 +438,17 @@ def test_genotype_views_are_made_in_many_tasks(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("fx_packed", "fx_dosage"):
         assert view(spark, str(tmp_path), name).rdd.getNumPartitions() == task_count(spark) > 1
+
+
+def test_written_ldpred_matches_once(spark, monkeypatch):
+    from traitloom.catalog import sumstat
+
+    packed, _, _ = _computed_genotypes(spark)
+    rows = [("t", f"rs{k}", 1, 10 * k, "A", "C", 0.1 * k, 0.02, 1000.0, k) for k in range(8)]
+    stats = spark.createDataFrame(rows, "phenotype string, rsid string, chr int, pos int, a0 string, a1 string, beta double, beta_se double, n_eff double, row_id long")
+    calls = []
+    monkeypatch.setattr(sumstat, "matched", lambda *_: calls.append(1) or stats)
+    monkeypatch.setattr(sumstat, "view", lambda *_: packed)
+    out = {r["rsid"]: r["effect"] for r in sumstat.written_ldpred(spark, "unused").collect()}
+    assert out == pytest.approx({f"rs{k}": 0.1 * k for k in range(8)})
+    assert len(calls) == 1

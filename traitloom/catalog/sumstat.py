@@ -14,7 +14,7 @@ from traitloom.operators import genotypes as G
 from traitloom.operators import joins, ld
 from traitloom.operators import sumstats as S
 from traitloom.plans import ldpred
-from traitloom.session import cut, work_path
+from traitloom.session import cut, large, work_path
 from traitloom.sources import writers
 
 LDSC_ROUNDS, LDSC_BLOCKS = 20, 200
@@ -48,8 +48,9 @@ def matched(spark, sf):
     return out.join(view(spark, sf, "fx_pvar").select("row_id", F.col("id").alias("rsid")), "row_id")
 
 
-def checked(spark, sf):
-    return S.sumstat_qc(matched(spark, sf), G.variant_counts(view(spark, sf, "fx_packed")))
+def checked(spark, sf, stats=None):
+    stats = matched(spark, sf) if stats is None else stats
+    return S.sumstat_qc(stats, G.variant_counts(view(spark, sf, "fx_packed")))
 
 
 @query("snp_match", oracle(f"{_MATCH} SELECT phenotype, chr, pos, row_id, rsid, a0, a1, round(beta, 6) + 0.0e0 AS beta FROM matched", "fx_pvar", "fx_gwas"))
@@ -249,8 +250,8 @@ def chain_params(spark, sf):
         "fx_pvar", "fx_gwas",
     ),
 )
-def model_export(spark, sf):
-    stats = matched(spark, sf)
+def model_export(spark, sf, stats=None):
+    stats = matched(spark, sf) if stats is None else stats
     beta = stats.groupBy("phenotype", "row_id").agg(F.avg("beta").alias("beta"))
     return S.export_model(stats, beta).withColumn("effect", r6("effect"))
 
@@ -298,7 +299,9 @@ def ldpred_auto_check(spark, sf):
 def written_ldpred(spark, sf):
     """Quality table and score model written together; the model read back."""
     path = work_path(spark, "ldpred")
-    writers.write_ldpred_outputs(path, {"qc": checked(spark, sf), "model": model_export(spark, sf)})
+    # Written once: the quality table reads the matched rows once, the model twice. Their file is far smaller than they are.
+    stats = large(cut(matched(spark, sf)))
+    writers.write_ldpred_outputs(path, {"qc": checked(spark, sf, stats), "model": model_export(spark, sf, stats)})
     return spark.read.parquet(f"{path}/model")
 
 
