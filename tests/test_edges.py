@@ -13,7 +13,7 @@ from traitloom.fixtures import view
 from traitloom.functions import expressions as E
 from traitloom.functions import names
 from traitloom.operators import aggregates, cis, genotypes, joins, ld, ordering, regression, scoring, survival
-from traitloom.plans import curation, phenotypes, qtl, sheets
+from traitloom.plans import curation, phenotypes, phewas, qtl, sheets
 from traitloom.session import cut, drop_cut, task_count
 from traitloom.sources import readers, writers
 
@@ -452,3 +452,14 @@ def test_written_ldpred_matches_once(spark, monkeypatch):
     out = {r["rsid"]: r["effect"] for r in sumstat.written_ldpred(spark, "unused").collect()}
     assert out == pytest.approx({f"rs{k}": 0.1 * k for k in range(8)})
     assert len(calls) == 1
+
+
+def test_model_frames_are_joined_once(spark):
+    frame = spark.range(40).select(
+        F.lit("p").alias("platform"), F.lit("F").alias("phecode"), F.lit("t").alias("trait"), F.lit(1).alias("event"), F.col("id").cast("double").alias("time"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("array_type"), (F.col("id") * 7 % 11).cast("double").alias("score"), (F.col("id") % 5).cast("double").alias("PC1"),
+    )
+    model = phewas.prepare_assoc(frame, components=["PC1"])
+    assert "Range" not in _plan(model)
+    row = model.agg(F.count("score").alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v"), F.sum(F.col("score") * F.col("PC1")).alias("c")).first()
+    assert row["n"] == 40 and [row["m"], row["v"], row["c"]] == pytest.approx([0, 1, 0], abs=1e-9)

@@ -34,6 +34,8 @@ def prepare_assoc(
     The least-squares sums and the component scales come from one aggregation. Scaling the
     score before adjusting it would cancel in the last scaling, so it is left out.
     """
+    # Written once: levels, sums, scales and result each read it, and the joins behind it move every sample.
+    frame = cut(frame)
     if category is not None:
         frame = one_hot(frame, [category])
     sums = ols_sums("score", components)
