@@ -463,3 +463,33 @@ def test_model_frames_are_joined_once(spark):
     assert "Range" not in _plan(model)
     row = model.agg(F.count("score").alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v"), F.sum(F.col("score") * F.col("PC1")).alias("c")).first()
     assert row["n"] == 40 and [row["m"], row["v"], row["c"]] == pytest.approx([0, 1, 0], abs=1e-9)
+
+
+def test_variants_are_never_broadcast(spark, tmp_path):
+    packed, long, samples = _computed_genotypes(spark)
+    variants = spark.range(8).select(F.lit(1).alias("chr"), (F.col("id") * 10).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.col("id").alias("row_id"), F.lit("rs").alias("id"))
+    hits = spark.range(4).select(F.lit("t").alias("phenotype"), F.concat(F.lit("rs"), "id").alias("rsid"), F.lit(1).alias("chr"), (F.col("id") * 10).cast("int").alias("pos"), F.lit("C").alias("effect_allele"), F.lit("A").alias("other_allele"), F.lit(0.5).alias("effect"), F.lit(0.0).alias("pval"), F.lit(0.5).alias("beta"))
+    stats = hits.select("phenotype", "chr", "pos", F.col("effect_allele").alias("a1"), F.col("other_allele").alias("a0"), "beta")
+    chosen = joins.match_effects(hits, variants)
+    pairs = spark.createDataFrame([(1, 0, 1, 0.9), (1, 1, 2, 0.9)], "chr int, i long, j long, r double")
+    ranked = variants.withColumn("maf", F.lit(0.2))
+    pruned = ld.ld_prune(pairs, ranked, 0.5)
+    scores = ld.ld_score(pairs, variants.select("row_id"))
+    made = [
+        chosen, joins.snp_match(stats, variants), qtl.select_trans_qtls(hits.drop("rsid"), variants, 0.1, ["beta"]), scoring.score_imputed(packed, chosen, "mean", samples),
+        pruned, scores, ld.shrink_ld(pairs, variants.select("row_id", F.lit(0.0).alias("cm"))),
+    ]
+    for df in made:
+        joined = _plan(df)
+        assert "SortMergeJoin" in joined
+        assert "BroadcastHashJoin [row_id" not in joined and "BroadcastHashJoin [chr" not in joined and "BroadcastHashJoin [i" not in joined
+    assert sorted(r["row_id"] for r in pruned.collect()) == [0, 2, 3, 4, 5, 6, 7]
+    assert {r["row_id"]: r["ld_score"] for r in scores.collect() if r["row_id"] < 3} == pytest.approx({0: 1.81, 1: 2.62, 2: 1.81})
+    spark.range(10).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.range(10).select(
+        F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"), F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+        F.lit(0.1).alias("l_discount"), F.lit(0.1).alias("l_tax"), F.lit(3).alias("l_quantity"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    gwas = view(spark, str(tmp_path), "fx_gwas")
+    assert "BroadcastHashJoin" not in _plan(gwas) and gwas.count() == 10

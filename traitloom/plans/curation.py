@@ -12,7 +12,7 @@ from traitloom.operators.aggregates import arg_best, duplicate_keys
 from traitloom.operators.genotypes import filter_maf, maf, variant_counts
 from traitloom.operators.joins import attach_info
 from traitloom.operators.ld import ld_pairs, ld_prune
-from traitloom.session import cut
+from traitloom.session import cut, large
 
 
 def with_variant_key(variants: DataFrame) -> DataFrame:
@@ -76,9 +76,9 @@ def drop_multiallelic(variants: DataFrame) -> DataFrame:
     """
     rs = F.col("id").startswith("rs")
     repeated_id = duplicate_keys(variants.where(rs), ["chr", "id"])
-    left = variants.join(repeated_id, ["chr", "id"], "left_anti").select(*variants.columns)
+    left = large(variants).join(repeated_id, ["chr", "id"], "left_anti").select(*variants.columns)
     repeated_pos = duplicate_keys(left.where(~rs), ["chr", "pos"])
-    return left.join(repeated_pos, ["chr", "pos"], "left_anti").select(*variants.columns)
+    return large(left).join(repeated_pos, ["chr", "pos"], "left_anti").select(*variants.columns)
 
 
 def drop_ambiguous(variants: DataFrame) -> DataFrame:
@@ -103,9 +103,9 @@ def thin_variants(
 ) -> DataFrame:
     """SNPs with enough minor alleles, none in a window correlated with a better one."""
     snps = identify_snps(variants)
-    common = filter_maf(variant_counts(packed.join(snps.select("row_id"), "row_id", "left_semi")), min_maf)
+    common = filter_maf(variant_counts(large(packed).join(snps.select("row_id"), "row_id", "left_semi")), min_maf)
     # Written once: it is used several times and costs a pass over the genotypes.
-    common = cut(snps.join(common.select("row_id", maf("freq").alias("maf")), "row_id"))
+    common = cut(large(snps).join(common.select("row_id", maf("freq").alias("maf")), "row_id"))
     pairs = ld_pairs(packed, common, window_bp, min_r2=max_r2, **ld_options)
     kept = ld_prune(pairs, common, max_r2)
     return kept.select(*variants.columns)
