@@ -493,3 +493,21 @@ def test_variants_are_never_broadcast(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     gwas = view(spark, str(tmp_path), "fx_gwas")
     assert "BroadcastHashJoin" not in _plan(gwas) and gwas.count() == 10
+
+
+def test_dosages_are_placed_without_a_look_up_by_name(spark, tmp_path, monkeypatch):
+    rows = [("t", i, f"v{k:02d}", None if k == 5 else float(i + k)) for i in range(3) for k in range(12) if (i, k) not in ((0, 0), (0, 1), (1, 6), (2, 11))]
+    rows += [("u", 0, "v00", 1.0), (None, 0, "v00", 1.0), ("t", None, "v03", 2.0)]
+    cells = spark.createDataFrame(rows, "phenotype string, iid long, rsid string, dosage double")
+
+    def searched(*_):
+        raise AssertionError("searches the names of a trait")
+
+    monkeypatch.setattr(writers.F, "try_element_at", searched)
+    writers.write_dosages(cells, f"{tmp_path}/all")
+    got = {(r["phenotype"], r["iid"], r["rsid"]): r["dosage"] for r in readers.read_dosages(spark, f"{tmp_path}/all").collect()}
+    want = {("t", i, f"v{k:02d}"): None for i in (0, 1, 2, None) for k in range(12)} | {("u", 0, "v00"): None}
+    assert got == want | {(p, i, v): d for p, i, v, d in rows if p is not None}
+    for bad in (("t", 0, "v02", 1.0), ("t", 0, None, 1.0)):
+        with pytest.raises(Exception, match="a variant twice|without a variant"):
+            writers.write_dosages(cells.unionByName(spark.createDataFrame([bad], cells.schema)), f"{tmp_path}/bad")
