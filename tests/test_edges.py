@@ -1,5 +1,6 @@
 """Rows that go wrong easily: missing values, ties, swapped alleles, empty groups, hot keys."""
 
+import glob
 import math
 import os
 
@@ -511,3 +512,21 @@ def test_dosages_are_placed_without_a_look_up_by_name(spark, tmp_path, monkeypat
     for bad in (("t", 0, "v02", 1.0), ("t", 0, None, 1.0)):
         with pytest.raises(Exception, match="a variant twice|without a variant"):
             writers.write_dosages(cells.unionByName(spark.createDataFrame([bad], cells.schema)), f"{tmp_path}/bad")
+
+
+def test_preamble_file_is_not_sorted(spark, tmp_path, monkeypatch):
+    from traitloom.catalog import files
+
+    customers = spark.range(50).select(F.col("id").alias("c_custkey"), F.lit("A B").alias("c_mktsegment"), (F.col("id") - 25).cast("double").alias("c_acctbal"))
+    customers.withColumn("c_mktsegment", F.lit("SEG")).repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(4).select(F.col("id").alias("vec_id"), F.array(*[F.lit(k / 4) for k in range(10)]).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def sorted_whole(*_):
+        raise AssertionError("sorts the whole file in one task")
+
+    monkeypatch.setattr(type(customers), "sortWithinPartitions", sorted_whole)
+    monkeypatch.setattr(files, "work_path", lambda *_: f"{tmp_path}/written")
+    got = files.read_with_preamble(spark, str(tmp_path)).collect()
+    assert sorted((r["sample_id"], r["array_type"], r["in_ancestry_subset"], r["PC10"]) for r in got) == [(k, "SEG", int(k >= 25), 2.25) for k in range(50)]
+    texts = [open(p).read().splitlines() for p in glob.glob(f"{tmp_path}/written/part-*")]
+    assert len(texts) == 1 and len(texts[0]) == 82 and texts[0][0] == "note 0" and texts[0][31].startswith("#UKB_ID1 ")

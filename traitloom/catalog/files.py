@@ -5,6 +5,7 @@ Files go to a fresh folder under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from traitloom.catalog.base import query, r6
@@ -175,13 +176,20 @@ def read_with_preamble(spark, sf):
     names = ["#UKB_ID1", "genotyping.array", "in.white.British.ancestry.subset", *[f"PC{i}" for i in range(1, 11)]]
     pcs = [F.col(f"PC{i}").cast("string") for i in range(1, 11)]
     rows = qc.select(
-        F.lit(2).alias("part"), F.col("sample_id").alias("k"),
         F.concat_ws(" ", F.col("sample_id").cast("string"), "array_type", F.col("in_ancestry_subset").cast("string"), *pcs).alias("value"),
     )
-    head = spark.createDataFrame([(1, i, f"note {i}") for i in range(31)] + [(1, 31, " ".join(names))], "part int, k bigint, value string")
+    preamble = [*[f"note {i}" for i in range(31)], " ".join(names)]
+
+    def headed(batches):
+        yield pa.RecordBatch.from_pydict({"value": pa.array(preamble, pa.string())})
+        for batch in batches:
+            yield batch.filter(batch.column(0).is_valid())
+
     path = work_path(spark, "sample_qc")
-    # One file, since the preamble belongs to a file: the table is one row per sample.
-    rows.unionByName(head).coalesce(1).sortWithinPartitions("part", "k").select("value").write.text(path)
+    # One file, since the preamble belongs to a file: its task puts the preamble first and streams the samples, one row each,
+    # behind it. The line without a value makes sure of a file without samples.
+    mark = spark.createDataFrame([(None,)], "value string")
+    rows.unionByName(mark).coalesce(1).mapInArrow(headed, "value string").write.text(path)
     out = readers.ancestry_flag(readers.read_with_preamble(spark, path))
     return out.select("sample_id", "array_type", "in_ancestry_subset", r6("PC1").alias("PC1"), r6("PC10").alias("PC10"))
 
