@@ -15,7 +15,7 @@ from traitloom.functions import expressions as E
 from traitloom.functions import names
 from traitloom.operators import aggregates, cis, genotypes, joins, ld, ordering, regression, scoring, survival
 from traitloom.plans import curation, phenotypes, phewas, qtl, sheets
-from traitloom.session import cut, drop_cut, task_count
+from traitloom.session import cut, cut_by, drop_cut, task_count
 from traitloom.sources import readers, writers
 
 
@@ -530,3 +530,15 @@ def test_preamble_file_is_not_sorted(spark, tmp_path, monkeypatch):
     assert sorted((r["sample_id"], r["array_type"], r["in_ancestry_subset"], r["PC10"]) for r in got) == [(k, "SEG", int(k >= 25), 2.25) for k in range(50)]
     texts = [open(p).read().splitlines() for p in glob.glob(f"{tmp_path}/written/part-*")]
     assert len(texts) == 1 and len(texts[0]) == 82 and texts[0][0] == "note 0" and texts[0][31].startswith("#UKB_ID1 ")
+
+
+def test_bucketed_table_stays_in_a_join(spark):
+    table = cut_by(spark.range(200).select(F.col("id").cast("string").alias("unit"), F.col("id").alias("v")), "unit")
+    other = spark.range(100).select(F.col("id").cast("string").alias("unit"), (F.col("id") * 2).alias("w"))
+    joined = table.join(other.hint("shuffle_hash"), "unit")
+    assert _plan(joined).count("Exchange hashpartitioning") == 1
+    assert sorted((r["v"], r["w"]) for r in joined.collect()) == [(k, 2 * k) for k in range(100)]
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    tables = len(spark.catalog.listTables())
+    drop_cut(table)
+    assert not os.path.isdir(folder) and len(spark.catalog.listTables()) == tables - 1

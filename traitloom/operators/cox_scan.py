@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from traitloom.operators.ordering import null_safe_on, row_index, running_sums
 from traitloom.operators.survival import event_ties, newton_step
-from traitloom.session import cut, drop_cut, spread
+from traitloom.session import cut, cut_by, drop_cut
 
 # Traits of a block, and samples of a chunk.
 LANES = 64
@@ -261,7 +261,9 @@ def cox_scan(
         *[F.col(f"{'b' if c == 'block' else 'a'}.{c}").alias(c) for c in whole],
         F.struct("a.time", "a.event", "a.cov", "b.entries").alias("sample"),
     )
-    rows = cut(spread(joined.groupBy(*whole).agg(F.collect_list("sample").alias("samples")), *whole))
+    # The chunk table stays where it lies: a Newton step moves only what it asks of each chunk, by a key that is never NULL.
+    unit = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(whole)]))
+    rows = cut_by(joined.groupBy(*whole).agg(F.collect_list("sample").alias("samples")).withColumn("unit", unit), "unit")
 
     def ddl(columns: Sequence[str]) -> str:
         return "".join(f"`{c}` {schema[c]}, " for c in columns)
@@ -269,6 +271,10 @@ def cox_scan(
     def with_lanes(right: DataFrame, on: Sequence[str]) -> DataFrame:
         return rows.alias("a").join(right.alias("b"), null_safe_on(on, "a", "b")).select("a.*", "b.lanes")
 
+    def with_own_lanes(right: DataFrame) -> DataFrame:
+        own = right.select(unit.alias("unit"), "lanes")
+        return rows.alias("a").join(own.hint("shuffle_hash"), "unit").select("a.*", "lanes")
+
     def adjusted(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = np.vstack(pdf["sums"]).sum(axis=0)
         row = {c: [pdf[c].iloc[0]] for c in (*heads, "lane")}
@@ -327,7 +333,7 @@ def cox_scan(
         sums = with_lanes(ask, heads).mapInArrow(_per_lane(whole, totals, p, adjust, ["model", "beta", "sums"]), ddl(whole) + lane_ddl)
         sums = sums.groupBy(*heads, "lane").applyInPandas(before, ddl(whole) + lane_ddl)
         ask = sums.groupBy(*whole).agg(F.collect_list(F.struct("lane", "model", "beta", "sums")).alias("lanes"))
-        parts = with_lanes(ask, whole).mapInArrow(_summed(heads, share, p, adjust), f"{ddl(heads)}lane int, sums array<double>")
+        parts = with_own_lanes(ask).mapInArrow(_summed(heads, share, p, adjust), f"{ddl(heads)}lane int, sums array<double>")
         fed = parts.alias("a").join(live.alias("b"), null_safe_on([*heads, "lane"], "a", "b")).select("b.*", "a.sums")
         moved = fed.groupBy(*heads, "lane").applyInPandas(step, state_schema)
         old, state = state, cut(state.where("NOT open").unionByName(moved))
