@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm import helpers
 from traitloom.llm import language
@@ -45,3 +47,29 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.count() > 0 and {"doc_id", "ids", "sequence_id", "offset"} <= set(rows.columns)
+
+
+def test_arrow_tasks_of_the_stages_hand_free_memory_back_and_leave_in_pieces(spark, monkeypatch):
+    """Each Arrow task ends by giving its free memory back; whole batches of texts are not held as Python objects."""
+    from traitloom.llm import common, exact_dedup, language, packing, simhash
+    from traitloom.llm.queries import tokenizer_paths
+
+    docs = spark.createDataFrame([(1, "one text", "en"), (2, "another text", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or plain(self, f, *a, **b))
+    language.drop_unidentified(docs)
+    exact_dedup.drop_exact_copies(docs)
+    simhash.with_fingerprint(docs)
+    simhash.links(spark.createDataFrame([(5,), (7,)], "fp long"))
+    packing.pack(docs, *tokenizer_paths())
+    assert {f.__name__ for f in tasks} >= {"count", "label", "local", "settle", "digest", "run", "deal"}
+    assert all(f.__module__.startswith("traitloom") and hasattr(f, "__wrapped__") for f in tasks)
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    texts = ["a" * (common.PIECE_BYTES // 2 + k) for k in range(4)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "lang": ["en"] * 4})
+    for name in ("label", "digest"):
+        out = list(next(f for f in tasks if f.__name__ == name)(iter([batch])))
+        assert [row for b in out for row in b.column(0).to_pylist()] == [1, 2, 3, 4]
+        assert max(b.num_rows for b in out) < 4
+    assert len(given) == 2

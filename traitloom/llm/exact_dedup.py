@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import keep_matching, text_bytes, text_or_empty, widened
+from traitloom.llm.common import batch_pieces, keep_matching, lean, text_bytes, text_or_empty, widened
 
 TRIE_BYTES = 128 << 20
 
@@ -156,8 +156,9 @@ def with_digest(df: DataFrame, text_col: str, name: str = "text_sha256") -> Data
         df = df.drop(name)
     schema = widened(df, **{name: "string"})
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_pieces(batches, text_col):
             i = batch.schema.get_field_index(text_col)
             raw, at = text_bytes(batch.column(i))
             data = raw.tobytes().lower()
@@ -180,9 +181,10 @@ def text_owners(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     merge = _better(keep)
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(merge, trie_bytes)
-        for batch in batches:
+        for batch in batch_pieces(batches, "text"):
             raw, at = text_bytes(batch.column(1))
             data = raw.tobytes().lower()
             for i, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
@@ -194,10 +196,11 @@ def text_owners(
     parts = rows.mapInArrow(local, "size long, text binary, id long, n long")
     dealt = parts.repartition(F.col("size"), F.xxhash64("text"))
 
+    @lean
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
             trie = Trie(merge, trie_bytes, folder)
-            for batch in batches:
+            for batch in batch_pieces(batches, "text"):
                 for text, i, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                     trie.add(text, (i, n))
             digests, ids, counts = [], [], []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import crc_mod, shared, text_or_empty, widened
+from traitloom.llm.common import batch_pieces, crc_mod, lean, shared, text_or_empty, widened
 
 TOP = 300
 SAMPLE_ROWS = 8000
@@ -79,6 +79,7 @@ def fit_profiles(
     chance = F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = rows.where(chance < share[F.col("lang")])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, codes, shares = [], [], []
@@ -133,8 +134,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     docs = docs.drop("lang_pred", "score")
     model = shared(docs.sparkSession, Profiles(profiles, top))  # top codes per learnt language
 
+    @lean
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_pieces(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             found = [model.value.best(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import batch_pieces, shared
+from traitloom.llm.common import batch_pieces, lean, shared
 from traitloom.llm.tokens import TextIds
 
 WINDOW = 2048
@@ -120,6 +120,7 @@ def pack(
     encoder = shared(docs.sparkSession, TextIds(vocab, ranks))  # two paths
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
         waiting, out, room = Waiting(window), [], BATCH

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import batch_pieces, cut, drop_tables, keep_matching, shared, text_bytes, text_or_empty, widened
+from traitloom.llm.common import batch_pieces, cut, drop_tables, keep_matching, lean, shared, text_bytes, text_or_empty, widened
 
 MAX_BITS = 3
 SECOND_BITS = 16
@@ -99,6 +99,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp",
     """
     docs = docs.drop(name)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_pieces(batches, text_col):
             raw, at = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
@@ -252,6 +253,7 @@ def links(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE, bits: int
     trees = shared(prints.sparkSession, tops)
     names = ["shard", "own", *rows.columns]
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(0).to_numpy().view(np.uint64)
