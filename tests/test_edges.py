@@ -542,3 +542,15 @@ def test_bucketed_table_stays_in_a_join(spark):
     tables = len(spark.catalog.listTables())
     drop_cut(table)
     assert not os.path.isdir(folder) and len(spark.catalog.listTables()) == tables - 1
+
+
+def test_ld_pairs_broadcasts_no_roles_of_blocks(spark):
+    """The roles of variant blocks grow with the variants; they meet these by sort and merge."""
+    variants = spark.createDataFrame([(1, 100 * k, k) for k in range(6)], "chr int, pos int, row_id long")
+    doses = [[float((s * (k + 1)) % 3) for s in range(12)] for k in range(6)]
+    packed = spark.createDataFrame([(k, 0, d) for k, d in enumerate(doses)], "row_id long, sample_block int, doses array<float>")
+    pairs = ld.ld_pairs(packed, variants, 200, block_size=2)
+    assert "BroadcastHashJoin [chr" not in _plan(pairs)
+    want = {(i, j) for i in range(6) for j in range(i + 1, min(i + 3, 6)) if np.std(doses[i]) and np.std(doses[j])}
+    assert {(r["i"], r["j"]) for r in pairs.collect()} == want
+    assert all(abs(r["r"] - np.corrcoef(doses[r["i"]], doses[r["j"]])[0, 1]) < 1e-9 for r in pairs.collect())
