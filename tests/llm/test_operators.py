@@ -324,6 +324,16 @@ def test_no_form_of_a_template_misses_the_classifier(spark):
     assert plan.count("regexp_extract_all") == 1  # words are made once
 
 
+def test_licence_model_stays_above_the_candidates(spark):
+    """The regression scores candidates only: no filter, which would run it for every paragraph, holds it."""
+    docs = spark.createDataFrame([(1, "Released under the MIT License.\n\nThe end of the tale."), (2, "Of the sea.")], "doc_id long, text string")
+    rows = licenses.scan(docs, licenses.fit(docs))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if line.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("UDF(" in line for line in filters)
+    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in rows.collect()] == [(1, 0, "mit")]
+
+
 def test_neighbours_of_repeated_ids(spark):
     """Many rows of one id near a query do not push out other ids."""
     rng = np.random.default_rng(0)

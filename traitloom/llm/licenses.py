@@ -283,7 +283,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     tf = HashingTF(numFeatures=WIDTH, binary=True, inputCol="grams", outputCol="features")
     seen = model.regression.transform(tf.transform(rows)).withColumn("p", vector_to_array("p"))
     names = F.array(*[F.lit(f) for f in model.families])
-    seen = seen.select("doc_id", "paragraph", "cue", "words", "hits", F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
+    # Fields of an exploded struct again: a filter on them pushed below would score every paragraph.
+    best = F.struct(F.get(names, F.col("prediction").cast("int")).alias("named"), F.array_max("p").alias("probability"))
+    seen = seen.select("doc_id", "paragraph", "cue", "words", "hits", F.explode(F.array(best)).alias("e"))
+    seen = seen.select("doc_id", "paragraph", "cue", "words", "hits", "e.named", "e.probability")
     seen = seen.withColumn("similarity", _similarity(F.col("words"), F.col("hits"), F.col("named")))
     sure = (F.col("probability") >= model.bar) & (F.col("similarity") >= SIMILAR)
     family = F.when(F.col("named") == NONE, F.lit(NONE)).when(sure, F.col("named")).otherwise(F.lit(UNKNOWN))
