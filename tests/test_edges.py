@@ -414,6 +414,18 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pruning_check_reads_the_products_once(spark, tmp_path):
+    """The checks read written pairs, they do not make the products again."""
+    from traitloom.catalog.ld import ld_prune_check
+
+    # The keys of 300 variants; everything else is made from them.
+    spark.range(300).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    out = ld_prune_check(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" not in plan
+    assert {tuple(r) for r in out.collect()} == {("close pairs kept", 0), ("dropped without reason", 0)}
+
+
 def test_genotypes_are_never_broadcast(spark):
     packed, long, samples = _computed_genotypes(spark)
     variants = spark.range(8).select(F.lit(1).alias("chr"), (F.col("id") * 10).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.col("id").alias("row_id"))
