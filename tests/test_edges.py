@@ -566,3 +566,20 @@ def test_ld_pairs_broadcasts_no_roles_of_blocks(spark):
     want = {(i, j) for i in range(6) for j in range(i + 1, min(i + 3, 6)) if np.std(doses[i]) and np.std(doses[j])}
     assert {(r["i"], r["j"]) for r in pairs.collect()} == want
     assert all(abs(r["r"] - np.corrcoef(doses[r["i"]], doses[r["j"]])[0, 1]) < 1e-9 for r in pairs.collect())
+
+
+def test_pruned_panel_has_no_correlated_pair_in_a_megabase(spark, tmp_path):
+    from traitloom.catalog.ld import ld_prune
+
+    spark.range(800).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    kept = ld_prune(spark, str(tmp_path)).collect()
+    doses = {r.row_id: np.rint(np.array(r.doses, float)) for r in view(spark, str(tmp_path), "fx_packed").collect()}
+    close = 0
+    for a in kept:
+        for b in kept:
+            if a.chr == b.chr and a.row_id < b.row_id and abs(a.pos - b.pos) <= 1_000_000:
+                x, y = doses[a.row_id], doses[b.row_id]
+                both = ~np.isnan(x) & ~np.isnan(y)
+                x, y = x[both] - x[both].mean(), y[both] - y[both].mean()
+                close += (x @ y) ** 2 > (0.5 + 1e-9) * (x @ x) * (y @ y)
+    assert close == 0 and len(kept) > 100
