@@ -583,3 +583,39 @@ def test_pruned_panel_has_no_correlated_pair_in_a_megabase(spark, tmp_path):
                 x, y = x[both] - x[both].mean(), y[both] - y[both].mean()
                 close += (x @ y) ** 2 > (0.5 + 1e-9) * (x @ x) * (y @ y)
     assert close == 0 and len(kept) > 100
+
+
+@pytest.fixture(scope="module")
+def far_tables(spark, tmp_path_factory):
+    """Variants whose positions lie beyond 32 bits, with statistics of two traits."""
+    path = str(tmp_path_factory.mktemp("far"))
+    keys = spark.range(7_000_000, 7_000_300)
+    keys.selectExpr("id AS p_partkey").write.parquet(f"{path}/part.parquet")
+    keys.selectExpr(
+        "id AS l_partkey", "id % 2 AS l_suppkey", "id * 3 AS l_orderkey", "1 AS l_linenumber", "CAST(id % 11 AS DOUBLE) / 100 AS l_discount",
+        "CAST(id % 9 AS DOUBLE) / 100 AS l_tax", "CAST(id % 50 AS DOUBLE) AS l_quantity",
+    ).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_positions_beyond_32_bits(spark, far_tables, tmp_path):
+    from traitloom.catalog import files, sumstat
+    from traitloom.catalog import ld as panel
+
+    variants = view(spark, far_tables, "fx_pvar")
+    assert dict(variants.dtypes)["pos"] == "bigint" and variants.agg(F.min("pos")).first()[0] > 1_400_000 * 7919
+    doses = {r.row_id: np.rint(np.array(r.doses, float)) for r in view(spark, far_tables, "fx_packed").collect()}
+    places = {r.row_id: (r.chr, r.pos) for r in variants.collect()}
+    pairs = {(r.i, r.j) for r in panel.ld_r2_pairs(spark, far_tables).collect()}
+    near = {(i, j) for i in places for j in places if places[i][0] == places[j][0] and (0, 0) < (places[j][1] - places[i][1], j - i) and 0 <= places[j][1] - places[i][1] <= panel.WINDOW}
+    constant = {i for i, d in doses.items() if np.ptp(d[~np.isnan(d)]) == 0}
+    assert pairs == {(i, j) for i, j in near if i not in constant and j not in constant}
+    assert panel.ld_score_blocked(spark, far_tables).count() == 300 - len(constant)
+    thinned = panel.thin_variants_blocked(spark, far_tables).collect()
+    assert thinned and all((r.chr, r.pos) == places[r.row_id] for r in thinned)
+    assert sumstat.ld_score_by_trait(spark, far_tables).count() > 0
+    assert {(r.chr, r.pos) for r in files.read_variants(spark, far_tables).collect()} == set(places.values())
+    stats = view(spark, far_tables, "fx_gwas").where("pval < 0.01")
+    assert files.read_sumstats_metabolon(spark, far_tables).count() == stats.count()
+    spark.range(300).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert dict(view(spark, str(tmp_path), "fx_pvar").dtypes)["pos"] == "int"

@@ -30,7 +30,8 @@ def read_variants(spark, sf):
     v = view(spark, sf, "fx_pvar").select(
         F.col("chr").alias("#CHROM"), F.col("pos").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT")
     )
-    return readers.read_variants(spark, _tsv(v.repartition(5, "#CHROM"), work_path(spark, "pvar"))).drop("row_id")
+    path = _tsv(v.repartition(5, "#CHROM"), work_path(spark, "pvar"))
+    return readers.read_variants(spark, path, pos=dict(v.dtypes)["POS"]).drop("row_id")
 
 
 @query(
@@ -42,7 +43,7 @@ def read_variant_rows(spark, sf):
     v = view(spark, sf, "fx_pvar").select(
         F.col("chr").alias("#CHROM"), F.col("pos").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT")
     )
-    rows = readers.read_variants(spark, _tsv(v.repartition(5, "#CHROM"), work_path(spark, "pvar")))
+    rows = readers.read_variants(spark, _tsv(v.repartition(5, "#CHROM"), work_path(spark, "pvar")), pos=dict(v.dtypes)["POS"])
     per_row = rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"))
     return per_row.agg(
         F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.min("row_id").alias("first"), F.max("row_id").alias("last")
@@ -55,7 +56,7 @@ def read_variant_rows(spark, sf):
 )
 def read_variant_stats(spark, sf):
     s = view(spark, sf, "fx_snpstats").drop("row_id")
-    return readers.read_variant_stats(spark, _tsv(s, work_path(spark, "snpstats")))
+    return readers.read_variant_stats(spark, _tsv(s, work_path(spark, "snpstats")), pos=dict(s.dtypes)["position"])
 
 
 def _gwas_files(spark, sf, layout, name):
@@ -86,7 +87,8 @@ _NAME = [("dir=", ""), ("INTERVAL_", "")]
 
 def _read_layout(spark, sf, kind):
     layout = readers.LAYOUTS[kind]
-    rows = readers.read_sumstats(spark, _gwas_files(spark, sf, layout, f"gwas_{kind}"), layout, max_p=0.01)
+    pos = dict(view(spark, sf, "fx_pvar").dtypes)["pos"]
+    rows = readers.read_sumstats(spark, _gwas_files(spark, sf, layout, f"gwas_{kind}"), layout, 0.01, pos)
     named = readers.phenotype_from_path(rows, _NAME, directory=True)
     beta = [r6("beta").alias("beta")] if layout.beta else []
     return named.select("phenotype", "chr", "pos", "effect_allele", "other_allele", *beta, r6("pval", 9).alias("pval"))

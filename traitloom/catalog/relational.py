@@ -222,13 +222,15 @@ SELECT row_no, try_cast(c AS INT) AS chr, try_cast(c AS INT) AS marker_chr, CAST
 )
 def parse_markers(spark, sf):
     c = F.when(F.col("row_no") % 13 == 0, "X").otherwise(F.col("chr").cast("string"))
-    m = view(spark, sf, "fx_gwas").select(
+    gwas = view(spark, sf, "fx_gwas")
+    pos = dict(gwas.dtypes)["pos"]
+    m = gwas.select(
         "row_no", F.concat(F.lit("chr"), c).alias("chrom"),
         F.concat(F.lit("chr"), c, F.lit(":"), "pos", F.lit(":A:C")).alias("marker"), F.lower("effect_allele").alias("ea"),
     )
     return m.select(
         "row_no", E.normalise_chr("chrom").alias("chr"), E.marker_chr("marker").alias("marker_chr"),
-        E.marker_pos("marker").alias("marker_pos"), F.upper("ea").alias("effect_allele"),
+        E.marker_pos("marker", pos).alias("marker_pos"), F.upper("ea").alias("effect_allele"),
     )
 
 
