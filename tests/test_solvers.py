@@ -404,3 +404,68 @@ def test_fill_values(spark, how):
     got = [r[0] for r in df.select(scoring.fill_value(how)).collect()]
     want = {"mode": [2.0, 0.0, 2.0], "median": [2.0, 0.5, 2.0], "mean": [5 / 3, 0.5, 1.5]}[how]
     assert np.allclose(got, want)
+
+
+def test_windows_stay_in_place_between_rounds(spark, monkeypatch):
+    """Of the state of the chains only the effects at the borders of windows move."""
+    from traitloom.operators import chains as C
+
+    n, width = 40, 8
+    variants = spark.createDataFrame([(k, 1, 100 * k) for k in range(n)], "row_id long, chr int, pos int")
+    pairs = spark.createDataFrame([(k, k + 1, 0.3) for k in range(n - 1)], "i long, j long, r double")
+    stats = spark.createDataFrame([("t", k, 0.05 * (k % 3), 500.0, 1.0) for k in range(n)], "phenotype string, row_id long, hat double, n double, scale double")
+    traits = spark.createDataFrame([("t", 0, 0)], "phenotype string, tb long, tl int")
+    places, entries, reach = C.place_windows(pairs, variants, width)
+    cells = C.window_cells(stats, places, traits, reach, width)
+    static = C.kept_in_place(C.with_borders(cells, width), entries)
+    hyper = spark.createDataFrame([(0, [0.1, 0.2], [0.3, 0.3], [n])], "tb long, p array<double>, h2 array<double>, m array<long>")
+    empty = C.no_effects(cells, 2)
+    state = [empty.where("w % 2 = 0"), empty.where("w % 2 = 1")]
+    for step in range(2):
+        for side in (0, 1):
+            state[side] = C.sweep_windows(state[side], state[1 - side], static, hyper, 2, 3, True, False, 2 * step + side, 2.0 * side)
+    seen = []
+    monkeypatch.setattr(C, "cut_by", lambda df, *keys, **_: seen.append(df._jdf.queryExecution().executedPlan().toString()))
+    C.sweep_windows(state[0], state[1], static, hyper, 2, 3, True, False, 4, 0.0)
+    # The borders are gathered and go to their windows; neither the state, the cells nor the entries do.
+    assert 1 <= seen[0].count("Exchange hashpartitioning") <= 2 and "REPARTITION" not in seen[0] and seen[0].count("Bucketed: true") == 3
+    rows = state[0].unionByName(state[1]).collect()
+    assert sorted(r["w"] for r in rows) == list(range(n // width))
+    assert all(len(r["curr"]) == 4 * 2 * width and len(r["beta_sum"]) == 8 * 2 * width and len(r["causal"]) == 2 for r in rows)
+
+
+def test_chain_check_counts_each_chain_and_variant(spark, monkeypatch):
+    from traitloom.catalog import sumstat
+
+    def job(effects):
+        keys = "phenotype string, chain int"
+        made = {
+            "effects": spark.createDataFrame(effects, f"{keys}, row_id long, beta_est double, corr_est double"),
+            "params": spark.createDataFrame([("t", 1, 0.1, 0.2), ("t", 30, 0.1, 0.2)], f"{keys}, p_est double, h2_est double"),
+            "paths": spark.createDataFrame([("t", c, k) for c in (1, 30) for k in range(1, 11)], f"{keys}, path_iter int"),
+            "heritability": spark.createDataFrame([("t", 1, True), ("t", 30, False)], f"{keys}, kept boolean"),
+            "model": spark.createDataFrame([("t",), ("t",)], "phenotype string"), "scores": spark.createDataFrame([("t", 0.5)], "phenotype string, score double"),
+        }
+        passed = spark.createDataFrame([("t", 1), ("t", 2)], "phenotype string, row_id long")
+        monkeypatch.setattr(sumstat, "auto_job", lambda *_: (passed, made))
+        return tuple(sumstat.ldpred_auto_check(spark, "unused").first())
+
+    whole = [("t", c, v, 0.1, 0.2) for c in (1, 30) for v in (1, 2)]
+    assert job(whole) == ("t", 2, 2, 0, 1)
+    assert job(whole[:-1]) == ("t", 2, 2, 1, 1)
+    assert job([*whole[:-1], ("t", 30, 2, float("nan"), 0.2)]) == ("t", 2, 2, 1, 1)
+
+
+def test_chains_and_scores_read_the_same_pairs(spark, monkeypatch):
+    """The products of the panel are made once for the regression and the chains."""
+    from traitloom.catalog import sumstat
+
+    made, given = [], []
+    pairs = spark.createDataFrame([(1, 1, 2, 0.5, 9)], "chr int, i long, j long, r double, n long")
+    monkeypatch.setattr(sumstat, "panel_ld", lambda *_: made.append(1) or pairs)
+    monkeypatch.setattr(sumstat, "heritability", lambda spark, sf, pairs=None: given.append(pairs) or (None, None))
+    monkeypatch.setattr(sumstat, "view", lambda *_: pairs.withColumnRenamed("i", "row_id").withColumn("alt", F.lit("A")))
+    monkeypatch.setattr(sumstat, "manifest", lambda *_: None)
+    monkeypatch.setattr(sumstat.ldpred, "auto_job", lambda passed, ld, *_: given.append(ld) or {})
+    sumstat.auto_job(spark, "unused")
+    assert len(made) == 1 and given[0] is given[1] and [tuple(r) for r in given[0].collect()] == [(1, 1, 2, 0.5, 9)]
